@@ -1,0 +1,38 @@
+"""Queries of this subpackage, each over its whole tables, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import conversations, runs
+from skein.session import table, tune
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return conversations.session_defects(table(spark, folder, "messages"))
+
+
+def p1_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return conversations.conversations(table(spark, folder, "messages"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.repeated_runs(table(spark, folder, "messages"))
+
+
+def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, folder, "messages"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = (p1_found, p1_conversations, p5_found, p5_collapsed)
+    return {f.__name__: f for f in named}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
