@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, runs
+from skein.llm import conversations, runs, secrets, spans
 from skein.session import table, tune
 
 
@@ -21,6 +21,28 @@ def p1_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "messages"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    found = spans.shared_spans(table(spark, folder, "file_blocks"))
+    return found.select("block_id", "start_pos", "end_pos").distinct()
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return spans.shared_share(table(spark, folder, "file_blocks"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return secrets.find_secrets(table(spark, folder, "file_blocks")).select("block_id", "field", "start_pos")
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    blocks = table(spark, folder, "file_blocks")
+    return secrets.redact(blocks, secrets.find_secrets(blocks)).select("block_id", "content", "input").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.repeated_runs(table(spark, folder, "messages"))
 
@@ -30,7 +52,7 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_conversations, p5_found, p5_collapsed)
+    named = (p1_found, p1_conversations, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_collapsed)
     return {f.__name__: f for f in named}
 
 
