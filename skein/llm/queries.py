@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, runs, secrets, spans
+from skein.llm import conversations, leaks, residue, runs, secrets, spans
 from skein.session import table, tune
 
 
@@ -51,8 +51,32 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse_runs(table(spark, folder, "messages"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.without_residue(table(spark, folder, "documents"))
+
+
+def p9_templates(spark: SparkSession, folder: str) -> DataFrame:
+    mined = residue.mine_templates(table(spark, folder, "documents"))
+    kinds = mined.select("template", "sentences", residue.classify(F.col("template")).alias("kind"))
+    return kinds.where(F.col("kind").isNotNull())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_conversations, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_collapsed)
+    named = (p1_found, p1_conversations, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_collapsed, p7_found, p7_report, p9_found, p9_kept, p9_templates)
     return {f.__name__: f for f in named}
 
 
