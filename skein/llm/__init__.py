@@ -1,5 +1,5 @@
 """Operators for language-model training data. Nothing outside this package imports it."""
 
-from skein.llm.queries import oracle_sql, queries
+from skein.llm.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
