@@ -5,10 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.operators import drift, flatten
+from skein.session import table, tune
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    values = drift.field_values(table(spark, folder, "team_calls"))
+    changes = drift.schema_changes(values, table(spark, folder, "session_files"))
+    return changes.select("path", "name", "change", "old_field", "new_field")
+
+
+def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return drift.unified_calls(table(spark, folder, "team_calls"), table(spark, folder, "session_files"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return flatten.element_paths(table(spark, folder, "transcript_lines"))
+
+
+def p6_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return flatten.flat_nodes(table(spark, folder, "transcript_lines")).withColumn("fields", F.to_json("fields"))
+
+
+def p6_schema(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return flatten.merged_schema(table(spark, folder, "transcript_lines"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    named = (p3_found, p3_unified, p6_found, p6_nodes, p6_schema)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
