@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, leaks, residue, runs, secrets, spans
+from skein.llm import conversations, leaks, mixture, residue, runs, secrets, spans
 from skein.session import table, tune
 
 
@@ -61,6 +61,16 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -76,7 +86,7 @@ def p9_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_conversations, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_collapsed, p7_found, p7_report, p9_found, p9_kept, p9_templates)
+    named = (p1_found, p1_conversations, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_collapsed, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_kept, p9_templates)
     return {f.__name__: f for f in named}
 
 
