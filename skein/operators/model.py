@@ -17,7 +17,7 @@ from skein.session import CHUNK_LINES
 
 BLOCK = (
     "struct<type:string,text:string,thinking:string,signature:string,id:string,name:string,input:string,tool_use_id:string,"
-    "content_str:string,content_list:array<struct<type:string,text:string>>,is_error:boolean,size:bigint>"
+    "content_str:string,content_list:array<struct<type:string,text:string>>,is_error:boolean,raw:string,size:bigint>"
 )
 ENVELOPE = ("cwd", "version", "gitBranch", "slug", "userType", "isSidechain", "costUSD", "duration", "apiDuration")
 INNER = ("usage", "stop_reason", "stop_sequence")
@@ -46,7 +46,7 @@ def list_size(blocks: Column) -> Column:
 
 def with_block(b: Column, **changes: Column) -> Column:
     """A copy of a block with fields changed and its size made right."""
-    names = [f.split(":")[0] for f in ("type", "text", "thinking", "signature", "id", "name", "input", "tool_use_id", "content_str", "content_list", "is_error")]
+    names = [f.split(":")[0] for f in ("type", "text", "thinking", "signature", "id", "name", "input", "tool_use_id", "content_str", "content_list", "is_error", "raw")]
     fields = {n: changes.get(n, b[n]) for n in names}
     new = F.struct(*[v.alias(n) for n, v in fields.items()])
     delta = F.lit(0).cast("long")
@@ -66,8 +66,8 @@ def from_table(df: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     def block(b):
         null = F.lit(None)
         fields = {n: b[n] for n in ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "content_str", "is_error")}
-        fields |= {"signature": null.cast("string"), "content_list": null.cast("array<struct<type:string,text:string>>")}
-        order = ("type", "text", "thinking", "signature", "id", "name", "input", "tool_use_id", "content_str", "content_list", "is_error")
+        fields |= {"signature": null.cast("string"), "content_list": null.cast("array<struct<type:string,text:string>>"), "raw": null.cast("string")}
+        order = ("type", "text", "thinking", "signature", "id", "name", "input", "tool_use_id", "content_str", "content_list", "is_error", "raw")
         base = F.struct(*[fields[n].alias(n) for n in order])
         return F.struct(*[base[n].alias(n) for n in order], block_size(base).alias("size"))
 
