@@ -145,9 +145,9 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, s
     """
     chosen = cut(mix(documents, targets, total, seed, tokenizer))
     by = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
-    whole = by.agg(F.sum("tokens").alias("whole"))
+    whole = by.groupBy(F.lit(1).alias("one")).agg(F.sum("tokens").alias("whole"))
     out = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    out = out.join(by, "source", "left").join(F.broadcast(whole))  # one row
+    out = out.join(by, "source", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left")  # one row
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     share = F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0))
     return out.select("source", "weight", "max_repeats", zero("documents"), zero("tokens"), share.alias("actual_share"), zero("most_repeats"))
