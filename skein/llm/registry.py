@@ -90,5 +90,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+LINES = "m as (select distinct session_id, line_index, type, lower(regexp_replace(name, '[^\\p{L}]', '', 'g')) as name_key, is_sidechain, uuid, parent_uuid, blocks, ts from messages where session_id is not null and line_index is not null)"
+RUNS = f"""with {LINES}, a as (select session_id, line_index, type, name_key, ts, row_number() over (partition by session_id order by line_index) - row_number() over (partition by session_id, type, name_key order by line_index) as g from m),
+ r as (select session_id, type, name_key, min(line_index) as first_line, max(line_index) as last_line, count(*) as events, arg_min(ts_, line_index) as first_ts_, arg_max(ts_, line_index) as last_ts_ from (select *, {{'t': ts}} as ts_ from a) group by session_id, type, name_key, g)"""
+DEFECTS = f"""with {LINES}, t as (select *, len(list_filter(coalesce(blocks, []), lambda b: b.type = 'text' and regexp_matches(coalesce(b.text, ''), '\\S'))) > 0 as has_text, len(list_filter(coalesce(blocks, []), lambda b: b.type in ('tool_use', 'tool_result'))) > 0 as tools from m where type in ('user', 'assistant') and not coalesce(is_sidechain, false)),
+ e as (select session_id from m group by 1 except select session_id from t where has_text or tools),
+ k as (select session_id, line_index, type = 'user' as u from t where type = 'user' and has_text or type = 'assistant' and (has_text or tools)),
+ n as (select distinct session_id from (select *, lead(u) over (partition by session_id order by line_index) as next_u from k) where u and coalesce(next_u, true)),
+ b as (select session_id, line_index, unnest(blocks) as b from t),
+ i as (select session_id, coalesce(case when b.type = 'tool_use' then b.id else b.tool_use_id end, '') as id, max(line_index) filter (b.type = 'tool_use') as last_use, min(line_index) filter (b.type = 'tool_use') as first_use, max(line_index) filter (b.type = 'tool_result') as last_result, min(line_index) filter (b.type = 'tool_result') as first_result from b where b.type in ('tool_use', 'tool_result') group by 1, 2),
+ x as (select session_id from i where not coalesce(last_result > last_use and first_use < first_result, false) union select session_id from t where parent_uuid is not null and not exists (select 1 from m where m.session_id = t.session_id and m.uuid = t.parent_uuid))
+ select session_id, 'empty' as defect from e union all select session_id, 'no_reply' from n union all select session_id, 'broken' from x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": DEFECTS,
+        "p5_found": f"{RUNS} select session_id, first_line, last_line from r where events >= 3",
+        "p5_collapsed": f"{RUNS} select session_id, type, name_key, first_line, last_line, events, first_ts_.t as first_ts, last_ts_.t as last_ts, (epoch_us(last_ts_.t) - epoch_us(first_ts_.t))::bigint as duration_us from r",
+    }

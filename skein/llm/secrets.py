@@ -146,10 +146,10 @@ def redact(blocks: DataFrame, found: DataFrame) -> DataFrame:
     pass unchanged, and so do nulls; a repeated row is redacted like the first.
     """
     spans = found.groupBy("block_id").agg(
-        *[F.collect_list(F.when(F.col("field") == f, F.struct("start_pos", "end_pos"))).alias(f"_{f}") for f in FIELDS]
+        *[F.collect_list(F.when(F.col("field") == f, F.struct("start_pos", "end_pos"))).alias(f"__skein_{f}") for f in FIELDS]
     )
     joined = blocks.join(spans, "block_id", "left")
     blank = F.pandas_udf(_blank, "string")
     for field in FIELDS:
-        joined = joined.withColumn(field, F.when(F.size(F.col(f"_{field}")) > 0, blank(field, f"_{field}")).otherwise(F.col(field)))
+        joined = joined.withColumn(field, F.when(F.size(F.col(f"__skein_{field}")) > 0, blank(field, f"__skein_{field}")).otherwise(F.col(field)))
     return joined.select(*blocks.columns)
