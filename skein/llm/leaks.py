@@ -65,15 +65,16 @@ def _patterns(items: list[tuple[int, str]], words: int) -> dict[str, list[int]]:
 
 def _scanner(items, words: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = _patterns(items.value, words)
         automaton = ahocorasick.Automaton()
-        for pattern, owners in _patterns(items.value, words).items():
+        for pattern, owners in patterns.items():
             automaton.add_word(pattern, (len(pattern), owners))
         automaton.make_automaton()
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 placed = normalise(text)
-                if len(placed) < words:
+                if len(placed) < words or not patterns:
                     continue
                 line = f" {' '.join(w for w, _, _ in placed)} "
                 ends, at = {}, 0  # place of the blank after each word -> its number
