@@ -22,24 +22,33 @@ from pyspark.sql import functions as F
 
 from skein.session import cut
 
-#: Characters of the substrings that are hashed for minimisers; a power of two.
-SEED = 32
+#: Shortest length of spans that can be asked for.
+LEAST_LENGTH = 12
 #: Windows packed in one string at most. A longer run of one minimiser is cut; all of its
 #: pieces go to the same bucket.
 PACK = 512
 
 
+def seed_of(length: int) -> int:
+    """Characters of the substrings hashed for minimisers: the power of two between a sixth and a third.
+
+    Long ones tell passages apart: few texts share one by chance, so few buckets have to be counted.
+    """
+    return 1 << int(np.log2(length / 3))
+
+
 def _minimisers(codes: np.ndarray, length: int) -> np.ndarray:
     """The minimiser's hash for each window of `length` code points, in one pass each."""
+    seed = seed_of(length)
     h, span, base = codes.astype(np.uint64), 1, 0x9E3779B97F4A7C15
-    while span < SEED:  # hash of 2n characters from two of n
+    while span < seed:  # hash of 2n characters from two of n
         h = h[:-span] * np.uint64(base) + h[span:]
         base = base * base % 2**64
         span *= 2
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h = h ^ (h >> np.uint64(29))
-    width = length - SEED + 1
+    width = length - seed + 1
     # least of each `width` neighbours: suffix minima of one block, prefix minima of the next
     padded = np.full(-(-len(h) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[: len(h)] = h
@@ -91,15 +100,16 @@ def shared_spans(blocks: DataFrame, length: int = 200) -> DataFrame:
     is the length of the whole field. A block given twice is one block; what it repeats only in
     itself isn't shared. Null and short texts hold no span.
     """
-    if length < 2 * SEED:
-        raise ValueError(f"length must be at least {2 * SEED}")
+    if length < LEAST_LENGTH:
+        raise ValueError(f"length must be at least {LEAST_LENGTH}")
     records = _records(blocks).where(F.length("text") >= length)
     text_id = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     records = records.select("block_id", "field", text_id.alias("text_id"), F.length("text").cast("long").alias("chars"), "text")
     # exact copies: one text, with the least and the greatest of its owners
     texts = cut(records.groupBy("text_id").agg(F.min("block_id").alias("low"), F.max("block_id").alias("high"), F.first("text").alias("text")))
     schema = "text_id struct<a:bigint,b:bigint>, low long, high long, minimiser long, start long, packed string"
-    packed = cut(texts.mapInPandas(_pack(length), schema))
+    # the strings aren't written before it is known which buckets matter; packing twice is cheaper
+    packed = texts.mapInPandas(_pack(length), schema)
     several = packed.groupBy("minimiser").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h")
     bucket = cut(packed.join(several.select("minimiser"), "minimiser", "left_semi"))
     # the same packed string in many texts is cut into windows once
