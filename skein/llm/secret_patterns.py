@@ -6,6 +6,7 @@ a quote may have a backslash before it and a line may end with the two character
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections import Counter
@@ -80,8 +81,19 @@ _PLACEHOLDER = re.compile(
     r"(.)\3{4,}|^\W*$|^<.*>?$|^\{.*|^\$.*|^%.*%?$|^\*+|\.\.\.|^[x*#.\-_]+$|…"
 )
 _REFERENCE = re.compile(r"(?i)^(?:\$|\{\{|%\{|#\{|<)|\{[a-z_.]+\}|^(?:env|vault|secret|secretsmanager|ssm|arn|ref|file|op|keyring|aws|gcp|kms)[:/.]|os\.environ|process\.env|getenv|^self\.|^[a-z_]+(?:\.[a-z_]+)+$")
+# What is documented or guessed: words that fill shared defaults, and runs of digits and keys.
+_STAND_IN = re.compile(
+    r"default|shared|common|public|generic|standard|guest|admin(?:istrator)?|root|super|user(?:name)?|login|welcome|letmein|pass(?:word|wd|wort|phrase|code)?|secret|token|demo|local(?:host)?|devel(?:op|opment)?|staging|"
+    r"postgres(?:ql)?|mysql|maria(?:db)?|mongo(?:db)?|redis|rabbit(?:mq)?|minio|elastic|grafana|oracle|tomcat|vagrant|docker|jenkins|test(?:ing)?|temp|hello|world|foo|bar|baz|qwert[yz]?|asdf(?:gh)?|master|iloveyou|monkey|dragon|abc\d*|"
+    r"0?123\d*|6?54321\d*|(\d)\1{3,}"
+)
+_LEET = str.maketrans("@$0134", "asoiea")
 _ESCAPE = re.compile(r"\\\\|\\[nrt]")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+# The base64 lines that directly follow a header: quotes, joints and line numbers may stand between, and
+# lines like `DEK-Info: ...`; the first has both cases and a digit or sign, the last of a text may be short.
+_BETWEEN = r"(?:\\[nrt]|(?:Proc-Type|DEK-Info|Version|Comment|Hash): [^\n\\]*|\d{1,6}(?=[→:|\t])|[^A-Za-z0-9])*+"
+_BODY = re.compile(rf"{_BETWEEN}(?=[A-Za-z0-9+/=]*[0-9+/])(?=[A-Za-z0-9+/=]*[a-z])(?=[A-Za-z0-9+/=]*[A-Z])[A-Za-z0-9+/=]{{16,}}+(?:{_BETWEEN}[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BETWEEN}[A-Za-z0-9+/=]+\Z)?")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 
 
@@ -101,6 +113,17 @@ def placeholder(value: str) -> bool:
     return len(value) < 5 or bool(re.fullmatch(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+|\d{1,5}", value)) or bool(re.search(r"\s", value)) or bool(_PLACEHOLDER.search(value)) or bool(_REFERENCE.search(value))
 
 
+def stand_in(value: str) -> bool:
+    """A default or guess by its form: known words of such make up more than half of it, as is or in leet."""
+    if re.fullmatch(r"[A-Za-z0-9+/]{6,}={0,2}", value) and len(value) % 4 == 0:
+        # user:password of a basic header
+        pair = base64.b64decode(value)
+        if b":" in pair and pair.isascii() and pair.decode().isprintable():
+            value = pair.decode().partition(":")[2] or value
+    low = value.lower()
+    return any(2 * sum(len(m[0]) for m in _STAND_IN.finditer(form)) > len(value) for form in (low, low.translate(_LEET)))
+
+
 def structured(value: str) -> bool:
     """A value that looks issued by a machine: long, mixed, without the shape of words or hashes."""
     if _UUID.match(value) or re.fullmatch(r"(?i)(?:0x)?[0-9a-f]+|sha\d+[-:].*", value):
@@ -130,17 +153,21 @@ def _named(text: str, word: re.Match) -> bool:
 def literals(text: str) -> list[tuple[int, str, str, int]]:
     """All candidate literals of a text: (start, value, kind, end), one per start.
 
-    Kinds: key (a private key; the value is its whole block), assigned, address, header and
+    Kinds: key (a private key; the value is its whole block, or what is left of it), assigned, address, header and
     spoken (its surroundings say it is a credential), literal (only its form does). The value of
     a string in several pieces is what the pieces give together; `end` is that of the last piece.
     """
     found: dict[int, tuple[str, str, int]] = {}
     hidden = [m.span() for m in PUBLIC.finditer(text)] + [m.span() for m in PUBLIC_LINE.finditer(text)]
     for m in PRIVATE_KEY.finditer(text):
-        end = PRIVATE_END.search(text, m.end())
-        stop = end.end() if end else m.end()
+        end, other = PRIVATE_END.search(text, m.end()), PRIVATE_KEY.search(text, m.end())
+        if end and not (other and other.start() < end.start()):
+            body, stop = _KEY_BODY.search(text, m.end(), end.start()), end.end()
+        else:  # cut off: the key is its header and what directly follows
+            body = _BODY.match(text, m.end(), other.start() if other else len(text))
+            stop = body.end() if body else m.end()
         hidden.append((m.start() + 1, stop))
-        if _KEY_BODY.search(text, m.end(), end.start() if end else len(text)):
+        if body:
             found[m.start()] = (text[m.start() : stop], "key", stop)
     inside = lambda at: any(a <= at < b for a, b in hidden)
 

@@ -2,9 +2,10 @@
 
 1. Every text is scanned once for literals in places that hold credentials, and for literals that
    look issued by a machine.
-2. The literals are indexed corpus-wide: how many owners (sessions) use each. What many owners share
-   is a placeholder or a documented default, whatever it looks like.
-3. Literals that are rare and of credential form are confirmed.
+2. The literals are indexed corpus-wide: how many owners (sessions) use each. What has the form of a
+   default or a guess and many owners is a placeholder. Other forms stay however many share them, as
+   one file copied into many sessions gives its credentials many owners.
+3. Literals of credential form are confirmed, those of default form only where they are rare.
 4. Every text is scanned again for the confirmed values with an Aho-Corasick automaton, so a secret
    is also found where nothing around it says what it is. The values go to the executors in blocks
    of bounded size, one scan a block.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from skein.llm import secret_patterns as patterns
 from skein.session import cut
 
-#: A literal used by more owners than this is a shared placeholder.
+#: A literal of default form used by more owners than this is a shared placeholder.
 MOST_OWNERS = 10
 #: Confirmed values in one automaton: at most this many are broadcast at once.
 BLOCK_VALUES = 50_000
@@ -46,17 +47,18 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for field, text in _views(block):
                 for start, value, kind, end in patterns.literals(text):
                     shaped = not patterns.placeholder(value) if kind != "key" else True
-                    rows.append((block.block_id, block.session_id, field, start, end, value, kind, shaped))
-        yield pd.DataFrame(rows, columns=["block_id", "session_id", "field", "start_pos", "end_pos", "value", "kind", "shaped"])
+                    rows.append((block.block_id, block.session_id, field, start, end, value, kind, shaped, kind != "key" and patterns.stand_in(value)))
+        yield pd.DataFrame(rows, columns=["block_id", "session_id", "field", "start_pos", "end_pos", "value", "kind", "shaped", "stand_in"])
 
 
 def candidate_literals(blocks: DataFrame) -> DataFrame:
-    """Literals of `content` and `input`: block_id, session_id, field, start_pos, end_pos, value, kind, shaped.
+    """Literals of `content` and `input`: block_id, session_id, field, start_pos, end_pos, value, kind, shaped, stand_in.
 
-    `shaped` is false for what is empty, masked, a stand-in or a reference by its form. Null or
-    empty fields give nothing; rows without block_id are left out.
+    `shaped` is false for what is empty, masked, a stand-in or a reference by its form alone,
+    `stand_in` true for what has the form of a default or a guess. Null or empty fields give
+    nothing; rows without block_id are left out.
     """
-    schema = "block_id long, session_id string, field string, start_pos long, end_pos long, value string, kind string, shaped boolean"
+    schema = "block_id long, session_id string, field string, start_pos long, end_pos long, value string, kind string, shaped boolean, stand_in boolean"
     src = blocks.where(F.col("block_id").isNotNull() & (F.col("content").isNotNull() | F.col("input").isNotNull()))
     return src.select("block_id", "session_id", *FIELDS).mapInPandas(_scan, schema)
 
@@ -72,9 +74,10 @@ def literal_index(literals: DataFrame) -> DataFrame:
 
 
 def confirmed_secrets(literals: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Values that are of credential form and that at most `most_owners` owners use."""
+    """Values that are of credential form; those of default form only if at most `most_owners` owners use them."""
     shaped = literals.where(F.col("shaped"))
-    return literal_index(shaped).where(F.col("owners") <= most_owners)
+    rare = literal_index(shaped.where(F.col("stand_in"))).where(F.col("owners") <= most_owners)
+    return literal_index(shaped.where(~F.col("stand_in"))).unionByName(rare)
 
 
 def _rescanner(values):
