@@ -72,8 +72,9 @@ MORE = re.compile(rf"{Q}\s*(?:[+.&]|\\)?\s*[bfru]?{QUOTED}")
 STRUCTURED = re.compile(r"(?<![A-Za-z0-9_\-+/=.@%#$&])(?P<v>[A-Za-z0-9][A-Za-z0-9_\-./+]{14,}={0,2})(?![A-Za-z0-9_\-+/=@])")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-# Blocks that are public: nothing inside them is a secret.
-PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)(?: [A-Z]+)*-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+# Blocks that are public: nothing inside them is a secret. Without an END line before the next BEGIN, see _BODY.
+PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)(?: [A-Z]+)*-----")
+_MARK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
 PUBLIC_LINE = re.compile(r"(?:data:[\w/+.\-]+;base64,|sha(?:1|256|384|512)-|ssh-(?:rsa|ed25519|dss) )\S*")
 
 _PLACEHOLDER = re.compile(
@@ -158,7 +159,11 @@ def literals(text: str) -> list[tuple[int, str, str, int]]:
     a string in several pieces is what the pieces give together; `end` is that of the last piece.
     """
     found: dict[int, tuple[str, str, int]] = {}
-    hidden = [m.span() for m in PUBLIC.finditer(text)] + [m.span() for m in PUBLIC_LINE.finditer(text)]
+    hidden = [m.span() for m in PUBLIC_LINE.finditer(text)]
+    for m in PUBLIC.finditer(text):
+        mark = _MARK.search(text, m.end())
+        cut = _BODY.match(text, m.end(), mark.start() if mark else len(text))
+        hidden.append((m.start(), mark.end() if mark and mark[1] == "END" else cut.end() if cut else m.end()))
     for m in PRIVATE_KEY.finditer(text):
         end, other = PRIVATE_END.search(text, m.end()), PRIVATE_KEY.search(text, m.end())
         if end and not (other and other.start() < end.start()):

@@ -130,6 +130,13 @@ def test_copies_keep_credentials_and_cut_off_keys(spark):
     assert [two[h[0] : h[3]] for h in secret_patterns.literals(two)] == [(head + body(1)).removesuffix("\nAb1"), key]
 
 
+def test_text_after_a_public_header_without_end():
+    for head in ("-----BEGIN CERTIFICATE-----", "-----BEGIN PUBLIC KEY-----"):
+        for text in (f'if "{head}" in text:\n    password = "{SECRET}"', f"{head}\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A\nA1b2C3d4E5f6G7h8A1b2\n\npassword: {SECRET}"):
+            assert [h[:2] for h in secret_patterns.literals(text)] == [(text.index(SECRET), SECRET)]
+    assert secret_patterns.literals("-----BEGIN CERTIFICATE-----\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A\nA1b2C3d4E5f6G7h8A1b2\nQx7") == []
+
+
 # ---- leaks
 
 
