@@ -17,6 +17,10 @@ from skein.functions.jsontext import Number, as_object, dump, parse
 
 #: Keys whose value may be JSON text of an object instead of the object.
 OPENED = ("message", "input")
+#: Path of the line itself; the paths of what its fields but `message` hold start with it.
+LINE = "$"
+#: Field of a row that is no object but a value: an element of an array, or a whole line.
+VALUE = "#value"
 
 
 def nodes(value, path: str = "", parent: str = "", table: str = "") -> Iterator[tuple[str, str, str, int, dict]]:
@@ -43,8 +47,39 @@ def nodes(value, path: str = "", parent: str = "", table: str = "") -> Iterator[
                     stack.append((inner, f"{path}[{i}]", parent, f"{table}[]", i))
 
 
+def _values(value, path: str = "", parent: str = "", table: str = "") -> Iterator[tuple[str, str, str, int, dict]]:
+    """(path, parent path, table, ordinal, {VALUE: text}) of the scalars in arrays that no field of an object holds whole.
+
+    These are the elements of arrays with containers among them, of arrays in arrays, and of `value` itself.
+    """
+    stack = [(value, path, parent, table, False, False)]
+    while stack:
+        value, path, parent, table, element, field = stack.pop()
+        if isinstance(value, dict):
+            parent = path if element else parent
+            for key, inner in value.items():
+                if key in OPENED:
+                    inner = as_object(inner) or inner
+                if isinstance(inner, (dict, list)):
+                    stack.append((inner, f"{path}.{key}" if path else key, parent, f"{table}.{key}" if table else key, False, True))
+        elif isinstance(value, list):
+            whole = field and not any(isinstance(x, (dict, list)) for x in value)
+            for i, inner in enumerate(value):
+                if isinstance(inner, (dict, list)):
+                    stack.append((inner, f"{path}[{i}]", parent, f"{table}[]", True, False))
+                elif inner is not None and not whole:
+                    yield f"{path}[{i}]", parent, f"{table}[]", i, {VALUE: _text(inner)}
+
+
+def _text(value) -> str:
+    return str(value) if isinstance(value, str) else dump(value)
+
+
 def _message(raw: str | None):
-    line = parse(raw)
+    return _message_of(parse(raw))
+
+
+def _message_of(line):
     message = line.get("message") if isinstance(line, dict) else None
     return as_object(message) or message if isinstance(message, (dict, list, str)) else None
 
@@ -64,35 +99,71 @@ def _scalars(value: dict) -> dict[str, str]:
                 if inner and not any(isinstance(x, (dict, list)) for x in inner):
                     out[name] = dump(inner)
             elif inner is not None:
-                out[name] = str(inner) if isinstance(inner, str) else dump(inner)
+                out[name] = _text(inner)
     return out
 
 
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for line, raw in zip(pdf["line_id"], pdf["raw"]):
-            message = _message(raw)
-            if isinstance(message, dict):
-                rows.append((line, "", None, "", None, _scalars(message)))
-            if isinstance(message, (dict, list)):
-                rows.extend((line, p, up, t, i, _scalars(v)) for p, up, t, i, v in nodes(message))
-        yield pd.DataFrame(rows, columns=["line_id", "node_path", "parent_path", "table_path", "ordinal", "fields"]).astype({"ordinal": "Int64"})
+def _rows(line_id, raw: str | None) -> Iterator[tuple]:
+    line = parse(raw)
+    if line is None:
+        return
+    message = _message_of(line)
+    own = line
+    if isinstance(line, dict):
+        own = {k: v for k, v in line.items() if k != "message" or not isinstance(message, (dict, list))}
+    yield line_id, LINE, None, LINE, None, _scalars(own) if isinstance(own, dict) else {} if isinstance(own, list) else {VALUE: _text(own)}
+    below = [(own, LINE, LINE, LINE)]
+    if isinstance(message, (dict, list)):
+        yield line_id, "", LINE, "", None, _scalars(message) if isinstance(message, dict) else {}
+        below.append((message, "", "", ""))
+    for part in below:
+        yield from ((line_id, p, up, t, i, _scalars(v)) for p, up, t, i, v in nodes(*part))
+        yield from ((line_id, *row) for row in _values(*part))
+
+
+def _node_rows(line_id, raw: str | None) -> Iterator[tuple]:
+    message = _message(raw)
+    if isinstance(message, dict):
+        yield line_id, "", None, "", None, _scalars(message)
+    if isinstance(message, (dict, list)):
+        yield from ((line_id, p, up, t, i, _scalars(v)) for p, up, t, i, v in nodes(message))
+
+
+def _explode(lines: DataFrame, rows_of) -> DataFrame:
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [row for line_id, raw in zip(pdf["line_id"], pdf["raw"]) for row in rows_of(line_id, raw)]
+            yield pd.DataFrame(rows, columns=["line_id", "node_path", "parent_path", "table_path", "ordinal", "fields"]).astype({"ordinal": "Int64"})
+
+    schema = "line_id long, node_path string, parent_path string, table_path string, ordinal long, fields map<string,string>"
+    src = lines.where(F.col("line_id").isNotNull() & F.col("raw").isNotNull()).select("line_id", "raw")
+    return src.mapInPandas(explode, schema).dropDuplicates(["line_id", "node_path"])
+
+
+def flat_rows(lines: DataFrame) -> DataFrame:
+    """All of every JSON line, as rows: the line, its message, and the elements of all array levels.
+
+    Output: line_id, node_path, parent_path, table_path, ordinal, fields (map of the row's own
+    values as text). (line_id, node_path) is a row's key, (line_id, parent_path) its parent's. The
+    line is the row with node_path '$' and a null parent; it holds the root fields, also a message
+    that is plain text, and elements of root arrays lie below it as `$.todos[0]`. The message, if a
+    container, is the row with node_path '' and parent '$'. A scalar in an array is a row with the
+    field '#value', unless the array is all scalars and the field of an object; then the field holds
+    it whole. A line that is a scalar has '#value' too. Nulls and empty arrays are no values; lines
+    that are no JSON give nothing. A message or input that is JSON text of an object counts as the
+    object; other strings stay text. Of equal keys in an object the last counts; a line given twice
+    under one line_id counts once.
+    """
+    return _explode(lines, _rows)
 
 
 def flat_nodes(lines: DataFrame) -> DataFrame:
-    """All objects of all array levels inside `message`, as rows.
-
-    Output: line_id, node_path, parent_path, table_path, ordinal, fields (map of the object's own
-    values as text). (line_id, node_path) is a row's key, (line_id, parent_path) its parent's; the
-    message itself is the row with node_path '' and a null parent. Lines that are no JSON object
-    and messages that are neither container nor JSON text of an object give nothing. A message or
-    input that is JSON text of an object counts as the object; other strings stay text. Of equal
-    keys in an object the last counts; a line given twice under one line_id counts once.
+    """Only the objects of all array levels inside `message`, with the columns of `flat_rows`.
+
+    The message itself, if an object, is the row with node_path '' and a null parent. Lines that are
+    no JSON object and messages that are neither container nor JSON text of an object give nothing.
     """
-    schema = "line_id long, node_path string, parent_path string, table_path string, ordinal long, fields map<string,string>"
-    src = lines.where(F.col("line_id").isNotNull() & F.col("raw").isNotNull()).select("line_id", "raw")
-    return src.mapInPandas(_explode, schema).dropDuplicates(["line_id", "node_path"])
+    return _explode(lines, _node_rows)
 
 
 def element_paths(lines: DataFrame) -> DataFrame:

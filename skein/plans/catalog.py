@@ -70,7 +70,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_nodes(spark: SparkSession, folder: str) -> DataFrame:
     tune(spark)
-    return flatten.flat_nodes(table(spark, folder, "transcript_lines")).withColumn("fields", F.to_json("fields"))
+    return flatten.flat_rows(table(spark, folder, "transcript_lines")).withColumn("fields", F.to_json("fields"))
 
 
 def p6_schema(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,6 +65,23 @@ def test_nested_records(spark):
     assert flatten.merged_schema(df).count() > 0 and flatten.flat_nodes(df.limit(0)).count() == 0
 
 
+def test_lines_and_scalar_elements(spark):
+    message = {"content": ["s", {"n": 1, "tags": ["a", "b"], "#": [[1, None], [], [2.0]]}, 7, None, True]}
+    raws = [
+        json.dumps({"type": "user", "cwd": "/x", "extra": {"a": 1}, "message": message, "todos": [{"id": 1}, "t"]}), json.dumps({"uuid": "u", "message": "plain"}), json.dumps({"uuid": "v"}), "no json", "[1,{\"a\":2}]", '"text"',
+        json.dumps({"message": ["m", {"a": 1}]}), json.dumps({"message": json.dumps({"role": "r"})}), None,
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)] * 2, "line_id long, raw string")
+    rows = flatten.flat_rows(df).collect()
+    assert {(r.line_id, r.node_path): (r.parent_path, r.table_path, r.ordinal, r.fields) for r in rows} == {
+        (0, "$"): (None, "$", None, {"type": "user", "cwd": "/x", "extra.a": "1"}), (0, "$.todos[0]"): ("$", "$.todos[]", 0, {"id": "1"}), (0, "$.todos[1]"): ("$", "$.todos[]", 1, {"#value": "t"}), (0, ""): ("$", "", None, {}),
+        (0, "content[0]"): ("", "content[]", 0, {"#value": "s"}), (0, "content[1]"): ("", "content[]", 1, {"n": "1", "tags": '["a","b"]'}), (0, "content[2]"): ("", "content[]", 2, {"#value": "7"}), (0, "content[4]"): ("", "content[]", 4, {"#value": "true"}),
+        (0, "content[1].#[0][0]"): ("content[1]", "content[].#[][]", 0, {"#value": "1"}), (0, "content[1].#[2][0]"): ("content[1]", "content[].#[][]", 0, {"#value": "2.0"}),
+        (1, "$"): (None, "$", None, {"uuid": "u", "message": "plain"}), (2, "$"): (None, "$", None, {"uuid": "v"}), (4, "$"): (None, "$", None, {}), (4, "$[0]"): ("$", "$[]", 0, {"#value": "1"}), (4, "$[1]"): ("$", "$[]", 1, {"a": "2"}),
+        (5, "$"): (None, "$", None, {"#value": "text"}), (6, "$"): (None, "$", None, {}), (6, ""): ("$", "", None, {}), (6, "[0]"): ("", "[]", 0, {"#value": "m"}), (6, "[1]"): ("", "[]", 1, {"a": "1"}), (7, "$"): (None, "$", None, {}), (7, ""): ("$", "", None, {"role": "r"}),
+    } and len(rows) == 22
+
+
 def test_deep_nesting(spark):
     deep = '{"message":' + '{"a":[' * 200 + "1" + "]}" * 200 + "}"
     df = spark.createDataFrame([(1, deep)], "line_id long, raw string")
