@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.jsontext import Number, as_object, dump, parse
+from skein.session import cut
 
 #: Keys whose value may be JSON text of an object instead of the object.
 OPENED = ("message", "input")
@@ -183,26 +184,42 @@ def element_paths(lines: DataFrame) -> DataFrame:
     return src.mapInPandas(keys, schema).distinct()
 
 
-def merged_schema(lines: DataFrame) -> DataFrame:
-    """What all messages together hold: table_path, field, objects, filled.
-
-    One row per array level (table_path) and field of its objects: how many objects the level
-    has, and how many of them fill the field.
-    """
-    rows = flat_nodes(lines)
+def _schema_of(rows: DataFrame) -> DataFrame:
     totals = rows.groupBy("table_path").agg(F.count(F.lit(1)).alias("objects"))
     fields = rows.select("table_path", F.explode(F.map_keys("fields")).alias("field"))
     return fields.groupBy("table_path", "field").agg(F.count(F.lit(1)).alias("filled")).join(totals, "table_path").select("table_path", "field", "objects", "filled")
 
 
+def merged_schema(lines: DataFrame) -> DataFrame:
+    """What all lines together hold: table_path, field, objects, filled.
+
+    One row per table of `flat_rows` (lines, messages, array levels) and field of its rows: how many
+    rows the table has, and how many of them fill the field.
+    """
+    return _schema_of(flat_rows(lines))
+
+
+def child_tables(lines: DataFrame) -> DataFrame:
+    """The flat tables of all levels, laid out by the merged schema: table_path, line_id, node_path, parent_path, ordinal, columns.
+
+    All rows of a table have the same `columns`, a map with every field that the merged schema has
+    for the table, in order of the names; what a row doesn't fill is null.
+    """
+    rows = cut(flat_rows(lines))
+    layout = _schema_of(rows).groupBy("table_path").agg(F.sort_array(F.collect_list("field")).alias("names"))
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    filled = F.map_from_arrays(names, F.transform(names, lambda n: F.try_element_at("fields", n)))
+    return rows.join(layout, "table_path", "left").select("table_path", "line_id", "node_path", "parent_path", "ordinal", filled.alias("columns"))
+
+
 def child_table(lines: DataFrame, table_path: str) -> DataFrame:
     """The flat table of one array level, with a column for every field the level has anywhere.
 
     Keys: line_id, node_path, parent_path, ordinal; fields that clash with them get a trailing
     underscore. The level's field names are brought to the driver, its data is not.
     """
-    rows = flat_nodes(lines).where(F.col("table_path") == table_path)
-    names = sorted(r.f for r in rows.select(F.explode(F.map_keys("fields")).alias("f")).distinct().limit(5001).collect())
+    rows = flat_rows(lines).where(F.col("table_path") == table_path)
+    names = sorted(r.field for r in _schema_of(rows).select("field").limit(5001).collect())
     if len(names) > 5000:
         raise ValueError("more than 5000 fields")
     keys = ["line_id", "node_path", "parent_path", "ordinal"]

@@ -78,6 +78,12 @@ def p6_schema(spark: SparkSession, folder: str) -> DataFrame:
     return flatten.merged_schema(table(spark, folder, "transcript_lines"))
 
 
+def p6_tables(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    tables = flatten.child_tables(table(spark, folder, "transcript_lines"))
+    return tables.withColumn("columns", F.to_json("columns", {"ignoreNullFields": "false"}))
+
+
 def catalog_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder).groupBy("project").agg(F.count(F.lit(1)).alias("sessions"), F.sum("size").cast("long").alias("bytes"))
 
@@ -197,7 +203,7 @@ def guard_stream(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """All queries of the core by name."""
     named = (
-        p3_found, p3_unified, p6_found, p6_nodes, p6_schema, catalog_totals, newest_session, resolve_prefix, tail_match, collapse_savings, apply_removals, prescription_gentle,
+        p3_found, p3_unified, p6_found, p6_nodes, p6_schema, p6_tables, catalog_totals, newest_session, resolve_prefix, tail_match, collapse_savings, apply_removals, prescription_gentle,
         prescription_report, team_protected_gentle, task_upsert, config_merge, model_window_lookup, topic_dedup, recent_topics, word_coverage, themes, breaker_window, guard_tiers,
         overflow_sessions, formats, guard_stream,
     )

@@ -82,6 +82,20 @@ def test_lines_and_scalar_elements(spark):
     } and len(rows) == 22
 
 
+def test_tables_laid_out_by_the_merged_schema(spark, tmp_path):
+    raws = ['{"type":"a","message":{"content":[{"x":1},{"y":"s"},"t"]}}', '{"cwd":"/c","message":{}}', '{"message":[[{}]]}']
+    df = spark.createDataFrame(list(enumerate(raws)), "line_id long, raw string")
+    df.write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    got = {(r.table_path, r.line_id, r.node_path): (r.parent_path, r.ordinal, r.columns) for r in catalog.queries()["p6_tables"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("$", 0, "$"): (None, None, '{"cwd":null,"type":"a"}'), ("$", 1, "$"): (None, None, '{"cwd":"/c","type":null}'), ("$", 2, "$"): (None, None, '{"cwd":null,"type":null}'),
+        ("", 0, ""): ("$", None, "{}"), ("", 1, ""): ("$", None, "{}"), ("", 2, ""): ("$", None, "{}"), ("[][]", 2, "[0][0]"): ("", 0, "{}"),
+        ("content[]", 0, "content[0]"): ("", 0, '{"#value":null,"x":"1","y":null}'), ("content[]", 0, "content[1]"): ("", 1, '{"#value":null,"x":null,"y":"s"}'), ("content[]", 0, "content[2]"): ("", 2, '{"#value":"t","x":null,"y":null}'),
+    }
+    fields = {(r.table_path, r.field) for r in flatten.merged_schema(df).collect()}
+    assert fields == {("$", "cwd"), ("$", "type"), ("content[]", "#value"), ("content[]", "x"), ("content[]", "y")}
+
+
 def test_deep_nesting(spark):
     deep = '{"message":' + '{"a":[' * 200 + "1" + "]}" * 200 + "}"
     df = spark.createDataFrame([(1, deep)], "line_id long, raw string")
