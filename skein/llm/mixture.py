@@ -2,7 +2,8 @@
 
 Token weights are raked (iterative proportional fitting) to three marginals: the wanted shares of the
 sources, and the shares that languages and topics have in the corpus. The cells that are raked are
-combinations of source, language and topic; their number is checked. Documents are then drawn by the
+combinations of source, language and topic, on the driver or, if they are many, by distributed sums
+of the groups in every round. Documents are then drawn by the
 calibrated weight of their cell: its whole part is certain, its fraction the probability of one copy
 more. The draw is a hash of the document, so it can be repeated and needs no order; a last threshold
 for each source makes the tokens drawn meet the target.
@@ -24,9 +25,10 @@ from skein.session import cut
 #: Vocabulary of ranks (base64 token and rank a line) and the pattern that parts the text before.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Combinations of source, language and topic at most; topics beyond are one topic, "other".
+#: Combinations of source, language and topic that are raked on the driver; more are raked as a DataFrame.
 MOST_CELLS = 50_000
-MOST_TOPICS = 500
+#: Sources at most, as their goals and caps are kept on the driver.
+MOST_SOURCES = 50_000
 ROUNDS = 50
 BINS = 4096
 
@@ -88,7 +90,36 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray]
     return weights
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
+def rake_cells(cells: DataFrame, goals: DataFrame, size: float, rounds: int = ROUNDS) -> DataFrame:
+    """`rake` for any number of cells: source, lang, topic, tokens become source, lang, topic, weight.
+
+    `goals` has source, goal (tokens) and cap. Languages and topics are to keep their shares of
+    `size`. Each step sums the groups of one column and multiplies the weights of their cells.
+    """
+    held = F.col("weight") >= F.col("cap") * (1 - 1e-12)
+    have = F.sum(F.col("weight") * F.col("tokens"))
+    whole = max(cells.agg(F.sum("tokens")).first()[0] or 0, 1)
+    cells = cells.join(goals.select("source", "cap"), "source").withColumn("weight", F.least(F.lit(1.0), "cap"))
+    for _ in range(rounds):
+        for column in ("lang", "topic", "source"):
+            sums = cells.groupBy(column).agg(have.alias("have"), (F.sum("tokens") / whole * size).alias("goal"))
+            if column == "source":
+                sums = sums.drop("goal").join(goals.select("source", "goal"), "source")
+            factor = sums.select(column, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0).alias("factor"))
+            cells = cells.join(factor, column).withColumn("weight", F.least(F.col("weight") * F.col("factor"), "cap")).drop("factor")
+        cells = cut(cells)
+    for _ in range(rounds):
+        sums = cells.groupBy("source").agg(have.alias("have"), F.sum(F.when(held, F.col("weight") * F.col("tokens")).otherwise(0.0)).alias("held")).join(goals.select("source", "goal"), "source")
+        left = F.col("have") - F.col("held")
+        factor = sums.select("source", F.when(left > 1e-9, F.greatest((F.col("goal") - F.col("held")) / left, F.lit(0.0))).otherwise(1.0).alias("factor"))
+        grown = F.when(held, F.col("weight")).otherwise(F.least(F.col("weight") * F.col("factor"), "cap"))
+        if not cells.join(factor, "source").where(F.abs(grown - F.col("weight")) > 1e-12 * F.col("weight")).limit(1).count():
+            break
+        cells = cut(cells.join(factor, "source").withColumn("weight", grown).drop("factor"))
+    return cells.select("source", "lang", "topic", "weight")
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER, most_cells: int = MOST_CELLS) -> DataFrame:
     """The chosen documents: doc_id, source, tokens, repeats (at least 1).
 
     `targets` has source, weight and max_repeats; sources that it doesn't list aren't used. `total`
@@ -97,29 +128,32 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     null or non-positive weights and repeats count as 0, a source listed twice by its first row.
     """
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    wanted = {r.source: (max(r.weight or 0.0, 0.0), max(r.max_repeats or 0, 0)) for r in wanted.limit(MOST_CELLS).collect()}
+    wanted = {r.source: (max(r.weight or 0.0, 0.0), max(r.max_repeats or 0, 0)) for r in wanted.limit(MOST_SOURCES + 1).collect()}
+    if len(wanted) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     wanted = {s: x for s, x in wanted.items() if x[0] > 0 and x[1] > 0}
     docs = cut(counted(documents, tokenizer).where(F.col("source").isin(list(wanted))))
-    topics = docs.groupBy("topic").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "topic").limit(MOST_TOPICS)
-    known = [r.topic for r in topics.collect()]
-    docs = docs.withColumn("topic", F.when(F.col("topic").isin(known), F.col("topic")).otherwise("other"))
-    cells = docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(MOST_CELLS + 1).toPandas()
-    if len(cells) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} combinations of source, language and topic")
+    cells = docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    by_source = {r.source: r.n for r in cells.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     spark = documents.sparkSession
-    if not len(cells):
+    if not by_source:
         return docs.select("doc_id", "source", "tokens", F.lit(1).cast("long").alias("repeats"))
-    tokens = cells["tokens"].to_numpy(dtype=float)
-    size = float(total if total is not None else tokens.sum())
-    numbers = [pd.factorize(cells[c], sort=True) for c in ("source", "lang", "topic")]
-    share = np.array([wanted[s][0] for s in numbers[0][1]])
-    goals = [share / sum(w for w, _ in wanted.values()) * size]
-    goals += [np.bincount(n, tokens) / max(tokens.sum(), 1) * size for n, _ in numbers[1:]]
-    caps = np.array([float(wanted[s][1]) for s in cells["source"]])
-    cells["weight"] = rake(tokens, [n for n, _ in numbers], goals, caps)
-    weights = spark.createDataFrame(cells[["source", "lang", "topic", "weight"]])
+    size = float(total if total is not None else sum(by_source.values()))
+    goal = {s: wanted[s][0] / sum(w for w, _ in wanted.values()) * size for s in by_source}
+    few = cells.limit(most_cells + 1).toPandas()
+    if len(few) <= most_cells:
+        tokens = few["tokens"].to_numpy(dtype=float)
+        numbers = [pd.factorize(few[c], sort=True) for c in ("source", "lang", "topic")]
+        goals = [np.array([goal[s] for s in numbers[0][1]])]
+        goals += [np.bincount(n, tokens) / max(tokens.sum(), 1) * size for n, _ in numbers[1:]]
+        caps = np.array([float(wanted[s][1]) for s in few["source"]])
+        few["weight"] = rake(tokens, [n for n, _ in numbers], goals, caps)
+        weights = F.broadcast(spark.createDataFrame(few[["source", "lang", "topic", "weight"]]))
+    else:
+        goals = spark.createDataFrame([(s, g, float(wanted[s][1])) for s, g in goal.items()], "source string, goal double, cap double")
+        weights = rake_cells(cut(cells), goals, size)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    drawn = docs.join(F.broadcast(weights), ["source", "lang", "topic"])  # at most MOST_CELLS rows
+    drawn = docs.join(weights, ["source", "lang", "topic"])
     drawn = drawn.withColumn("sure", F.floor(F.col("weight") + 1e-9)).withColumn("part", F.greatest(F.col("weight") - F.col("sure"), F.lit(0.0)))
     # a document gets one copy more if its rank is below its source's threshold, which is 1 but
     # for the chance of the draw
@@ -128,7 +162,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     sums = drawn.groupBy("source", "rank").agg(F.sum("tokens").alias("n"), F.sum(F.col("sure") * F.col("tokens")).alias("sure")).toPandas()
     limits = []
     for source, rows in sums.groupby("source"):
-        left = goals[0][list(numbers[0][1]).index(source)] - rows["sure"].sum()
+        left = goal[source] - rows["sure"].sum()
         rows = rows[rows["rank"] <= BINS].sort_values("rank")
         reached = rows["n"].cumsum()
         takes = int((reached - rows["n"] / 2 <= left).sum())

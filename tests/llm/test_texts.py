@@ -191,6 +191,27 @@ def test_mixture(spark):
     assert mixture.mix(df.limit(0), goal).count() == 0 and mixture.mix(df, goal.limit(0)).count() == 0
 
 
+def test_no_topic_is_pooled(spark, monkeypatch):
+    rows = [(i, "word " * (5 + i % 7), "en", "ab"[i % 2], f"Bill on topic{i % 700}") for i in range(1400)]
+    df, goal = spark.createDataFrame(rows, DOCS), spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, weight double, max_repeats int")
+    seen = []
+    monkeypatch.setattr(mixture, "rake", lambda tokens, groups, *rest, was=mixture.rake: seen.append(len(set(groups[2]))) or was(tokens, groups, *rest))
+    mixture.mix(df, goal)
+    assert seen == [700]
+
+
+def test_cells_raked_as_a_table(spark):
+    random.seed(3)
+    cells = [(s, lang, f"t{t}", random.randint(1, 900)) for s in "abc" for lang in ("de", "en") for t in range(6) if random.random() < 0.8]
+    tokens, size = np.array([float(c[3]) for c in cells]), 9000.0
+    numbers = [np.unique([c[k] for c in cells], return_inverse=True)[1] for k in range(3)]
+    caps, goal = {"a": 1.0, "b": 4.0, "c": 2.0}, {"a": 0.6 * size, "b": 0.3 * size, "c": 0.1 * size}
+    want = mixture.rake(tokens, numbers, [np.array([goal[s] for s in "abc"]), *[np.bincount(n, tokens) / tokens.sum() * size for n in numbers[1:]]], np.array([caps[c[0]] for c in cells]), 4)
+    goals = spark.createDataFrame([(s, goal[s], caps[s]) for s in "abc"], "source string, goal double, cap double")
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixture.rake_cells(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), goals, size, 4).collect()}
+    assert len(got) == len(cells) and np.allclose([got[c[:3]] for c in cells], want, rtol=1e-9)
+
+
 # ---- residue
 
 SPEECH = "The amendment would repair the court archive and leave the other one untouched."
