@@ -70,11 +70,19 @@ _WORD_SLOTS = [
     r"[A-Z]{2,}(?:_[A-Z]{2,}){1,6}\b", r"(?:DD|MM|TT|JJ)[.\-/](?:MM|DD)[.\-/](?:YYYY|JJJJ|AAAA|YY)\b", r"YYYY-MM-DD\b", r"(?:TODO|FIXME|TBD|TBA|TBC)\b", r"X{3,}\b",
 ]
 SLOT = rf"(?=[{{$#%@_.<&«(\[])(?<![\w$])(?:{'|'.join(_SIGNED_SLOTS)})|\b(?=[A-Z]{{2}})(?:{'|'.join(_WORD_SLOTS)})"
+# Words of the standard filler text: those that no language of the corpus has, and the small ones between.
+_LOREM = (
+    r"dolore?|amet|consectetu(?:r|er)|consetetur|adipis[ci]+ng|elit|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|"
+    r"reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum"
+)
+_LOREM_SMALL = r"sit|sed|do|ut|et|ad|quis|ex|ea|in|eu|non|qui|id|est|lorem|ipsum"
 _FILLER = [
     r"(?:\b[xX]{2,}\b[\s.,]*){4}", r"(?i)(?:\b(test|text|bla|blah|foo|asdf)\b[\s.,]*)(?:\1\b[\s.,]*){3}",
     # many longer words in lower case without a single short one: no language of the corpus does that;
     # repeated groups are counted exactly, as Java matches them by recursion
     r"(?:\b\p{Ll}{4,}\b\s+){11}\p{Ll}{4,}\b", r"(?i)\blorem ipsum(?: \p{L}{4,}){5}",
+    # the standard text with its short words and commas, or its first words alone on a line
+    rf"(?i)\blorem ipsum(?:(?:[\s,.;:]+(?:{_LOREM_SMALL})){{0,4}}[\s,.;:]+(?:{_LOREM})\b){{4}}", r"(?im)^\W*lorem ipsum dolor sit amet\W*$",
 ]
 
 

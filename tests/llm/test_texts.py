@@ -244,6 +244,13 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_standard_filler_text(spark):
+    rows = ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.", f"{SPEECH}\nLorem ipsum dolor sit amet.", f"{SPEECH} Lorem ipsum dolor sit amet, consetetur elit. Sed ut magna aliqua."]
+    plain = ["The ministry printed lorem ipsum dolor sit amet on 294 brochures.", "Lorem ipsum est un texte qui, et en ce lieu, ne dit rien."]
+    got = {(r.doc_id, r.kind) for r in residue.residue(docs(spark, list(enumerate(rows + plain)))).collect()}
+    assert got == {(i, "filler") for i in range(len(rows))}
+
+
 def test_templates_are_mined(spark):
     rows = [(i, f"Document {i} is being migrated. The clerk of {w} said so.") for i, w in enumerate(["Aa", "Bb", "Cc"])]
     found = {r.template: r.sentences for r in residue.mine_templates(docs(spark, rows)).collect()}
