@@ -97,9 +97,16 @@ def resolve_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tail_match(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.tail_contains(_document_lines(spark, folder), "crowns", 2, "t")
+
+
+def tail_match_50(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.tail_contains(_document_lines(spark, folder), "crowns", column="t")
+
+
+def _document_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = adapters.documents_as(table(spark, folder, "documents"), "text")
-    lines = lines.withColumn("t", F.get("blocks", F.lit(0))["text"])
-    return sessions.tail_contains(lines, "crowns", 2, "t")
+    return lines.withColumn("t", F.get("blocks", F.lit(0))["text"])
 
 
 def collapse_savings(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +210,7 @@ def guard_stream(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """All queries of the core by name."""
     named = (
-        p3_found, p3_unified, p6_found, p6_nodes, p6_schema, p6_tables, catalog_totals, newest_session, resolve_prefix, tail_match, collapse_savings, apply_removals, prescription_gentle,
+        p3_found, p3_unified, p6_found, p6_nodes, p6_schema, p6_tables, catalog_totals, newest_session, resolve_prefix, tail_match, tail_match_50, collapse_savings, apply_removals, prescription_gentle,
         prescription_report, team_protected_gentle, task_upsert, config_merge, model_window_lookup, topic_dedup, recent_topics, word_coverage, themes, breaker_window, guard_tiers,
         overflow_sessions, formats, guard_stream,
     )
@@ -244,6 +251,7 @@ def queries() -> dict[str, Query]:
         "token_estimate": _on_lines(lambda m: tokens.estimate(m).select("session_id", "total", "method", "model", "context_window")),
         "calibration": _on_lines(tokens.calibration),
         "tail_tokens": _on_lines(lambda m: tokens.tail_estimate(m, 5_000)),
+        "tail_tokens_50k": _on_lines(tokens.tail_estimate),
         "team_filter": _on_lines(lambda m: team.team_lines(m).select(*KEY)),
         "team_state": _on_lines(lambda m: team.team_state(m).select("session_id", "team_name", "messages", "last_line", "lead_summary")),
         "subagents": _on_lines(team.subagents),

@@ -80,6 +80,7 @@ SQL: dict[str, str] = {
     "newest_session": f"with {FILES} select path, mtime from f where mtime is not null order by mtime desc, path limit 1",
     "resolve_prefix": f"with {FILES} select session_id, path from f where starts_with(session_id, 'a') order by session_id <> 'a', project, path limit 1",
     "tail_match": f"with {DOCS}, r as (select * from d qualify row_number() over (partition by session_id order by line_index desc) <= 2) select session_id, bool_or(coalesce(contains(text, 'crowns'), false)) as found from r group by 1",
+    "tail_match_50": f"with {DOCS}, r as (select * from d qualify row_number() over (partition by session_id order by line_index desc) <= 50) select session_id, bool_or(coalesce(contains(text, 'crowns'), false)) as found from r group by 1",
     "overflow_sessions": f"with {BLOCKS}, x1 as (select session_id, line_index, string_agg({text_of('x')}, ' ') as t from b group by all), r as (select m.session_id, m.line_index, coalesce(t, '') as t from m left join x1 using (session_id, line_index) qualify row_number() over (partition by m.session_id order by m.line_index desc) <= 20) select session_id, bool_or(contains(t, 'after the last merge')) as found from r group by 1",
     "session_totals": f"with {LINES} select session_id, count(*) as messages, sum(byte_size)::bigint as bytes from m group by 1",
     "type_stats": f"with {LINES} select session_id, type, count(*) as messages, sum(byte_size)::bigint as bytes from m group by 1, 2",
@@ -135,6 +136,7 @@ SQL: dict[str, str] = {
     "token_estimate": f"with {HEURISTIC}, {LAST}, {MODEL} select h.session_id, coalesce({TOTAL}, (trunc(chars / 3.7) + 21000)::bigint) as total, case when lu.session_id is null then 'heuristic' else 'exact' end as method, model, 200000::bigint as context_window from h left join lu using (session_id) left join lm using (session_id)",
     "calibration": f"with {HEURISTIC}, {LAST} select h.session_id, case when {TOTAL} > 21000 then round(chars / ({TOTAL} - 21000), 2) end as chars_per_token from h left join lu using (session_id)",
     "tail_tokens": f"with {LINES.replace('m as (', 'm1 as (')}, m as (select *, sum(byte_size + 1) over (partition by session_id order by line_index desc) as behind from m1 qualify behind <= 5000), {LAST} select session_id, {TOTAL} as total from lu",
+    "tail_tokens_50k": f"with {LINES.replace('m as (', 'm1 as (')}, m as (select *, sum(byte_size + 1) over (partition by session_id order by line_index desc) as behind from m1 qualify behind <= 51200), {LAST} select session_id, {TOTAL} as total from lu",
     "model_window_lookup": "select p_partkey, (case when starts_with(p_type, 'STANDARD ANODIZED') then 1 when starts_with(p_type, 'STANDARD') then 2 when starts_with(p_type, 'PROMO') then 3 when starts_with(p_type, 'ECONOMY BURNISHED') then 4 else 9 end)::bigint as \"window\" from part",
     "team_filter": f"with {BLOCKS} select distinct session_id, line_index from b where line_type <> 'queue-operation' and (x.type = 'tool_use' and x.name in ({TOOLS}) or x.type = 'tool_result' and regexp_matches(x.content_str, '{TEAM}') or x.type = 'text' and regexp_matches(x.text, '{TEAM}')) union select session_id, line_index from m where type = 'queue-operation' and contains(root_content, '<task-notification>')",
     "task_upsert": """with e0 as (select distinct path, line_index, call_id, name, input from team_calls where name in ('TaskCreate', 'TaskUpdate') and json_valid(input)),

@@ -96,6 +96,14 @@ def test_tables_laid_out_by_the_merged_schema(spark, tmp_path):
     assert fields == {("$", "cwd"), ("$", "type"), ("content[]", "#value"), ("content[]", "x"), ("content[]", "y")}
 
 
+def test_tail_reaches_as_far_as_the_reference(spark, messages, tmp_path):
+    usage = (1, 2, 3, 4)
+    rows = [{"line_index": 0, "type": "assistant", "message_id": "m", "model": "x", "usage": usage, "byte_size": 100}] + [{"line_index": i, "type": "user", "byte_size": 2000} for i in range(1, 20)]
+    messages(rows).write.parquet(str(tmp_path / "messages.parquet"))
+    assert catalog.queries()["tail_tokens"](spark, str(tmp_path)).count() == 0
+    assert [r.session_id for r in catalog.queries()["tail_tokens_50k"](spark, str(tmp_path)).collect()] == ["s"]
+
+
 def test_deep_nesting(spark):
     deep = '{"message":' + '{"a":[' * 200 + "1" + "]}" * 200 + "}"
     df = spark.createDataFrame([(1, deep)], "line_id long, raw string")
