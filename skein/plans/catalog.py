@@ -34,17 +34,17 @@ def _on_lines(function: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _acted(name: str, *more: str, source: Callable[[SparkSession, str], DataFrame] = _lines, config: dict | None = None) -> Query:
-    """The lines that an operator acts on, and further columns of its actions."""
-    return lambda spark, folder: STRATEGIES[name].function(source(spark, folder), config or {}).select(*KEY, *more).distinct()
+    """The lines that an operator acts on, and further columns of its actions, as SQL: queries are named before a session is there."""
+    return lambda spark, folder: STRATEGIES[name].function(source(spark, folder), config or {}).selectExpr(*KEY, *more).distinct()
 
 
-def _documents(kind: str, text=None):
-    return lambda spark, folder: adapters.documents_as(table(spark, folder, "documents"), kind, text)
+def _documents(kind: str, text: Callable | None = None) -> Query:
+    return lambda spark, folder: adapters.documents_as(table(spark, folder, "documents"), kind, text() if text else None)
 
 
 def _new_text(name: str, kind: str, config: dict | None = None) -> Query:
     field = {"thinking": "thinking", "tool_result": "content_str"}.get(kind, "text")
-    return _acted(name, F.get("new_blocks", F.lit(0))[field].alias("text"), "pruned_bytes", source=_documents(kind), config=config)
+    return _acted(name, f"get(new_blocks, 0).{field} as text", "pruned_bytes", source=_documents(kind), config=config)
 
 
 def _tagged():
@@ -226,7 +226,7 @@ def queries() -> dict[str, Query]:
         "progress_collapse": _acted("progress-collapse"),
         "file_history_dedup": _acted("file-history-dedup", "reason"),
         "metadata_strip": _acted("metadata-strip", "pruned_bytes"),
-        "thinking_remove": _acted("thinking-blocks", F.size("new_blocks").alias("blocks_left"), "pruned_bytes"),
+        "thinking_remove": _acted("thinking-blocks", "size(new_blocks) as blocks_left", "pruned_bytes"),
         "thinking_truncate": _new_text("thinking-blocks", "thinking", {"thinking_mode": "truncate"}),
         "thinking_signature_only": _acted("thinking-blocks", config={"thinking_mode": "signature-only"}),
         "output_trim_bytes": _new_text("tool-output-trim", "tool_result", {"tool_output_max_bytes": 1024}),
@@ -237,8 +237,8 @@ def queries() -> dict[str, Query]:
         "stale_read_lines": _on_lines(strategies.stale_reads_of),
         "read_results": _on_lines(lambda m: strategies.read_results(m).select("session_id", "read_line", "line_index", "id")),
         "stale_reads": _acted("stale-reads", "pruned_bytes"),
-        "reminder_copies": lambda spark, folder: strategies.reminder_copies(_documents("text", _tagged())(spark, folder)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("reminders"), F.count_if("again").alias("again")),
-        "reminder_dedup": _acted("system-reminder-dedup", F.get("new_blocks", F.lit(0))["text"].alias("text"), source=_documents("text", _tagged())),
+        "reminder_copies": lambda spark, folder: strategies.reminder_copies(_documents("text", _tagged)(spark, folder)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("reminders"), F.count_if("again").alias("again")),
+        "reminder_dedup": _acted("system-reminder-dedup", "get(new_blocks, 0).text as text", source=_documents("text", _tagged)),
         "http_runs": _acted("http-spam"),
         "error_retry": _acted("error-retry-collapse", source=events),
         "poll_runs": _acted("background-poll-collapse", "reason"),
