@@ -81,7 +81,7 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_templates(spark: SparkSession, folder: str) -> DataFrame:
     mined = residue.mine_templates(table(spark, folder, "documents"))
-    kinds = mined.select("template", "sentences", residue.classify(F.col("template")).alias("kind"))
+    kinds = mined.select("template", "sentences", "documents", residue.classify(F.col("template")).alias("kind"))
     return kinds.where(F.col("kind").isNotNull())
 
 

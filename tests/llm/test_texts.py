@@ -252,6 +252,43 @@ def test_standard_filler_text(spark):
 
 
 def test_templates_are_mined(spark):
-    rows = [(i, f"Document {i} is being migrated. The clerk of {w} said so.") for i, w in enumerate(["Aa", "Bb", "Cc"])]
-    found = {r.template: r.sentences for r in residue.mine_templates(docs(spark, rows)).collect()}
-    assert found["document <*> is being migrated."] == 3 and found["the clerk of <*> said so."] == 3
+    rows = [(i, f"Document {i} is being migrated. The browser of {w} said so.") for i, w in enumerate(["Aa", "Bb", "Cc"])]
+    found = {r.template: (r.sentences, r.documents) for r in residue.mine_templates(docs(spark, rows)).collect()}
+    assert found == {"document <*> is being migrated.": (1, 3), "the browser of <*> said so.": (3, 3)}
+
+
+def test_other_sentences_of_a_leaf_take_nothing_away(spark):
+    rows = [(1, "The requested page could not be found."), (2, "The requested page was never officially found.")]
+    rows += [(10 + i, f"The requested page {a} {b} {c} found.") for i, (a, b, c) in enumerate(zip("abcdefgh", "ijklmnop", "qrstuvwx"))]
+    assert [tuple(r) for r in residue.residue(docs(spark, rows)).collect()] == [(1, "error")]
+
+
+@pytest.mark.parametrize("times", [1, 3, 4, 40])
+def test_messages_of_any_length(spark, times):
+    text = " and ".join(["the requested page could not be found"] * times) + "."
+    assert [r.kind for r in residue.residue(docs(spark, [(1, f"{SPEECH}\n{text}")])).collect()] == ["error"]
+
+
+def test_messages_known_by_their_spread(spark):
+    errors = ["Access denied.", "This page has expired.", "Too many requests.", "The file could not be loaded."]
+    odd = "Kindly quote voucher Q when you write to us."
+    rows = [(i, f"{errors[i % 4]} {odd}") for i in range(12)] + [(50, odd), (51, SPEECH)]
+    # a speech in many copies, with an error among it, is one witness
+    rows += [(100 + i, f"{SPEECH} Access denied.") for i in range(30)] + [(200, SPEECH)]
+    got = {r.doc_id for r in residue.residue(docs(spark, rows)).where("kind = 'beside'").collect()}
+    assert 50 in got and got == {*range(12), 50}
+
+
+# Messages written down after the vocabulary, as they came to mind.
+HELD_OUT = [
+    "We're sorry, this content is not available right now.", "Oops! Something went wrong while loading the page.", "The server encountered an internal error.", "Invoice could not be displayed.", "Gateway timed out.", "Your browser is outdated, please update it.",
+    "This site uses cookies; please accept them.", "An unexpected error has occurred.", "404 page not found", "The archive is temporarily offline.", "Connection refused.", "The link you requested no longer exists.", "Unable to connect to the database.",
+    "Dieser Artikel ist leider nicht verfügbar.", "Beim Laden der Seite ist ein Fehler aufgetreten.", "Die Verbindung zum Server ist fehlgeschlagen.", "Bitte Cookies akzeptieren.", "Der Zugang wurde verweigert.", "Désolé, une erreur inattendue s'est produite.",
+    "Impossible de charger le document.", "Le site est en maintenance.", "Veuillez activer JavaScript.", "Lo sentimos, esta página no existe.", "Se ha producido un error inesperado.", "El servidor no está disponible.", "Sitio en mantenimiento.", "Description coming soon",
+]
+
+
+def test_held_out_messages(spark):
+    got = {r.doc_id for r in residue.residue(docs(spark, list(enumerate(HELD_OUT)))).collect()}
+    missed = [t for i, t in enumerate(HELD_OUT) if i not in got]
+    assert len(missed) <= len(HELD_OUT) / 10, missed
