@@ -1,7 +1,7 @@
 """Template residue, filler and error-page text among documents.
 
 Messages that a site or a program writes are made from few templates, speech is not. The text is
-read once: every sentence with a word of the message vocabulary goes to a leaf of a prefix tree of
+read once: every sentence that says what messages say goes to a leaf of a prefix tree of
 fixed depth (number of words, first words, last word; numbers masked). In a leaf there is a template
 for every way its sentences agree: a word stays if other documents have it in the same place or if
 it belongs to the vocabulary, so a sentence can never erase what another one says; a sentence that
@@ -72,13 +72,15 @@ _NAVIGATION = (
     r"zurück zur (?:startseite|suche)|retour à (?:l[’']accueil|la recherche)|volver al (?:inicio|buscador)|(?:please )?log in again|veuillez vous (?:identifier|reconnecter)|(?:retry|try again) in <\*> (?:seconds|minutes)"
 )
 _PROGRAM = r"^https? <status>$|^traceback\b|\b(?:[a-z]+\.){1,8}[a-z]*(?:exception|error)\b|\b(?:key|type|value|attribute|index|name|null ?pointer|runtime|io|syntax|import|assertion)(?:error|exception)\b|^timeout after|^(?:fatal|warning|uncaught): "
-# Words of a message besides what it is about and what it says of it.
+# Words of a message besides what it is about and what it says of it: determiners, pronouns, prepositions, auxiliaries,
+# and the courtesies of programs.
 _BESIDE = (
-    r"the|this|that|these|it|there|we|we[’']re|i|occurred|after|you|your|our|requested|request|asked|for|looking|are|a|an|is|was|at|on|of|from|be|been|to|due|server|no|not|currently|right now|now|please|sorry|oops|error|http|do|does|have|has|with|while|when|and|or|may|might|"
-    r"loading|processing|view|sent|upstream|reply|maintenance|line|ms|seconds?|minutes?|retry|in|by|try|again|later|something|unexpected|code|reload|refresh|message|status|"
-    r"die|das|der|den|dieses?|diese|angeforderte[sn]?|angefragte[sn]?|gewünschte[sn]?|konnten?|wurden?|werden|wird|ist|sind|mehr|fehler|auf|diesem|nicht|leider|ein|eine|es|bitte|später|erneut|versuchen|sie|beim|laden|etwas|"
-    r"la|le|les|l|ce|cet|cette|est|a|demandée?|sur|une?|erreur|chargée?|affichée?|trouvée?|être|vous|identifier|veuillez|réessayer|plus|tard|désolée?|"
-    r"el|los|las|este|esta|está|solicitad[oa]|ya|cargar|cargarse|mostrar|mostrarse|encontrar|error|en|un|una|fallo|código|lo sentimos|inténtelo|más|tarde|referencia|référence|reference|referenz"
+    r"the|this|that|these|those|it|there|here|we(?:[’'](?:re|ve))?|i|you|your|our|us|a|an|any|some|something|is|are|was|were|be|been|being|do|does|did|has|have|had|having|can|could|may|might|will|would|at|on|of|off|from|to|for|with|while|when|if|as|and|or|but|in|into|by|due|after|before|no|not|never|yet|"
+    r"currently|right now|now|please|sorry|apologi[sz]e|oops|error|http|occurred|encountered|experienced|experiencing|trouble|problems?|issues?|unexpected|requested|request|asked|looking|trying|loading|processing|view|sent|upstream|reply|try|again|later|soon|back|code|reload|refresh|message|status|line|ms|seconds?|minutes?|retry|"
+    r"d(?:er|ie|as|en|em|es)|dies(?:er|e|es|en|em)?|ein(?:e|er|es|en|em)?|kein(?:e|er|es|en|em)?|unser(?:e|er|es|en|em)?|ihr(?:e|er|es|en|em)?|wir|sie|es|uns|angeforderte[nrs]?|angefragte[nrs]?|gewünschte[nrs]?|konnten?|kann|können|wurden?|werden|wird|ist|sind|war|waren|hat|haben|"
+    r"zum|zur|zu|auf|von|vom|bei|beim|im|in|mit|für|an|am|aus|wegen|während|und|oder|nicht|mehr|leider|etwas|bitte|später|erneut|versuchen|laden|fehler|unerwarteter|"
+    r"l[ae]|les|l|un|une|des?|du|d|ce|cet|cette|ces|votre|notre|nous|vous|il|elle|est|sont|a|ont|été|être|demandée?s?|sur|sous|dans|par|pour|avec|en|et|ou|au|aux|erreur|chargée?|affichée?|trouvée?|identifier|veuillez|réessayer|plus|tard|désolée?s?|inattendue?|"
+    r"el|los|las|un|una|este|esta|estos|estas|su|sus|nuestr[oa]s?|se|lo|está|están|es|son|ha|han|ya|de|del|al|por|para|con|sobre|en|y|o|error|solicitad[oa]|cargar|cargarse|mostrar|mostrarse|encontrar|fallo|código|sentimos|inténtelo|más|tarde|inesperad[oa]|referencia|référence|reference|referenz"
 )
 _STANDIN = (
     r"\b(?:text|content|speech|answer|transcript|details|description) (?:to follow|coming soon|goes here)\b|^(?:sample|dummy|placeholder) (?:text|paragraph|content)|blindtext|platzhalter(?:text)?\b|mustertext|beispieltext|text folgt|inhalt folgt|"
@@ -139,10 +141,16 @@ def _masked(text: Column) -> Column:
     return F.array_distinct(F.filter(low, lambda s: s != ""))
 
 
+def _word(words: str) -> str:
+    return r"(?U)(?<![\p{L}\d])(?:" + words + r")(?![\p{L}\d])"
+
+
 def _marked(sentence: Column) -> Column:
-    """Whether a sentence has a word of the message vocabulary."""
+    """Whether a sentence says what messages say; patterns are only tried where a word of the vocabulary stands."""
     words = F.split(sentence, r"[^\p{L}’']+")
-    return F.exists(words, lambda w: w.isin(_MARKS) | w.endswith("error") | w.endswith("exception") | w.endswith("serverfehler"))
+    marks = F.exists(words, lambda w: w.isin(_MARKS) | w.endswith("error") | w.endswith("exception") | w.endswith("serverfehler"))
+    says = sentence.rlike(_word(f"{_FAILS}|{_SCRIPTS}")) | sentence.rlike(f"{_PROGRAM}|{_STANDIN}|{_NAVIGATION}")
+    return F.when(marks, says).otherwise(False)
 
 
 def _leaf(words: Column) -> Column:
@@ -162,8 +170,7 @@ def sentences(documents: DataFrame) -> DataFrame:
     """One row for each different sentence of a document: doc_id, of, key, words, kinds.
 
     `of` is the number of different sentences of the document, `key` the sentence's hash; `words` are
-    given for sentences with a word of the message vocabulary only, the others are known by their
-    hash. A document's first row has its `kinds` (slot, filler), which are looked for in the whole
+    given for sentences that say what messages say, the others are known by their hash. A document's first row has its `kinds` (slot, filler), which are looked for in the whole
     text. Null ids and texts give no rows.
     """
     text = F.col("text")
@@ -204,16 +211,15 @@ def classify(template: Column) -> Column:
 
     A sentence that merely mentions failures is speech: of an error message nothing is left once
     its subject, its failure and the small words around them are taken away; one word may be if the
-    failure is one that only programs report, and the message is short.
+    message is short and its subject, or a failure that only programs report, is known.
     """
-    word = lambda words: rf"(?U)(?<![\p{{L}}\d])(?:{words})(?![\p{{L}}\d])"
-    has = lambda words: template.rlike(word(words))
+    has = lambda words: template.rlike(_word(words))
     rest = template
     for part in (_FAILS, _THING, _BESIDE):
-        rest = F.regexp_replace(rest, word(part), " ")
+        rest = F.regexp_replace(rest, _word(part), " ")
     left = F.regexp_replace(F.regexp_replace(rest, r"<\*>|<status>", " "), r"[^\p{L} ]+", "")
     nothing = F.length(F.trim(left)) == 0
-    little = ~F.contains(F.trim(left), F.lit(" ")) & (F.size(F.split(template, " ")) <= 10) & has(_FIRM)
+    little = ~F.contains(F.trim(left), F.lit(" ")) & (F.size(F.split(template, " ")) <= 10) & (has(_FIRM) | has(_THING))
     question = template.endswith("?")
     return (
         F.when(has(_SCRIPTS) & has(_DEMANDS) & ~question, "script")
