@@ -7,6 +7,7 @@ a quote may have a backslash before it and a line may end with the two character
 from __future__ import annotations
 
 import base64
+import bisect
 import math
 import re
 from collections import Counter
@@ -66,8 +67,8 @@ _PLACES = [
     ("spoken", r"\b(?i:uses?|using|with)\s+(?P<v>[^\s\"'`\\]{6,})\s+as\s+(?:\w+\s+){0,2}(?i:password|passphrase|secret|token|key)\b"),
 ]
 PLACES = [(kind, re.compile(rule)) for kind, rule in _PLACES]
-#: what joins the pieces of one string: "a" + "b", ("a" / "b")
-MORE = re.compile(rf"{Q}\s*(?:[+.&]|\\)?\s*[bfru]?{QUOTED}")
+#: what joins the pieces of one string: "a" + "b", ("a" / "b"); a piece before a colon is the next key
+MORE = re.compile(rf"{Q}\s*(?:[+.&]|\\)?\s*[bfru]?{QUOTED}(?!\s*[:=])")
 # Literals and bare words that look like issued tokens, wherever they stand.
 STRUCTURED = re.compile(r"(?<![A-Za-z0-9_\-+/=.@%#$&])(?P<v>[A-Za-z0-9][A-Za-z0-9_\-./+]{14,}={0,2})(?![A-Za-z0-9_\-+/=@])")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -77,10 +78,17 @@ PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)(?: [A
 _MARK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
 PUBLIC_LINE = re.compile(r"(?:data:[\w/+.\-]+;base64,|sha(?:1|256|384|512)-|ssh-(?:rsa|ed25519|dss) )\S*")
 
-_PLACEHOLDER = re.compile(
-    r"(?i)change[_\-]?(me|it|this)|your|example|placeholder|dummy|sample|redacted|replace|insert|enter|todo|fixme|none|null|undefined|true|false|test(ing)?[_\-]?(only)?$|"
-    r"(.)\3{4,}|^\W*$|^<.*>?$|^\{.*|^\$.*|^%.*%?$|^\*+|\.\.\.|^[x*#.\-_]+$|…"
-)
+_MASK = re.compile(r"^(.{0,4})(.)\2{4,}(?!.{5})|^\W*$|^<.*>?$|^\{.*|^\$.*|^%.*%?$|^\*+|\.\.\.|^[xX*#.\-_]+$|…")
+# Words that make a value a placeholder wherever they are a word of it, and those that must stand apart in it.
+_SURE = {"changeme", "changeit", "changethis", "example", "placeholder", "dummy", "sample", "redacted"}
+_APART = {"your", "my", "replace", "insert", "enter", "todo", "fixme", "none", "null", "undefined", "true", "false", "test", "testing", "here", "change", "xxx"}
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+")
+# Words of prompts and messages: a quoted text with one of them is no passphrase.
+_PROMPT = set(
+    "a an the your my our this that is are was be must should can cannot not no to of for in on at by with from and or if as please enter type insert give set use new old current valid invalid missing required wrong incorrect expired "
+    "failed empty too short long here below above again change reset forgot do does did has have will may it you we they be been only optional error warning".split()
+)
 _REFERENCE = re.compile(r"(?i)^(?:\$|\{\{|%\{|#\{|<)|\{[a-z_.]+\}|^(?:env|vault|secret|secretsmanager|ssm|arn|ref|file|op|keyring|aws|gcp|kms)[:/.]|os\.environ|process\.env|getenv|^self\.|^[a-z_]+(?:\.[a-z_]+)+$")
 # What is documented or guessed: words that fill shared defaults, and runs of digits and keys.
 _STAND_IN = re.compile(
@@ -109,13 +117,35 @@ def classes(value: str) -> int:
     return sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
 
 
+def _passphrase(value: str) -> bool:
+    """Several plain words, none of which a prompt or message would use."""
+    words = value.split(" ")
+    return len(words) >= 3 and all(re.fullmatch(r"[A-Za-z0-9\-']{2,}", w) for w in words) and not any(w.lower() in _PROMPT or re.fullmatch(rf"(?i){SECRET_WORDS}|key", w) for w in words)
+
+
 def placeholder(value: str) -> bool:
-    """Empty, masked, a stand-in or a reference, by its form alone."""
-    return len(value) < 5 or bool(re.fullmatch(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+|\d{1,5}", value)) or bool(re.search(r"\s", value)) or bool(_PLACEHOLDER.search(value)) or bool(_REFERENCE.search(value))
+    """Empty, masked, a stand-in or a reference, by its form alone.
+
+    Words such as none or your count where they stand apart, not inside a random string; a value
+    with blanks is a secret only if it is a passphrase.
+    """
+    if re.search(r"\s", value):
+        return not _passphrase(value)
+    if len(value) < 5 or re.fullmatch(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+|\d{1,5}", value) or _MASK.search(value) or _REFERENCE.search(value):
+        return True
+    low = value.lower()
+    if _SURE & {w.lower() for w in _WORDS.findall(value)} or _SURE & {*_SPLIT.split(low), re.sub(r"[^a-z]", "", low)}:
+        return True
+    if structured(value):
+        return False
+    ends = _WORDS.findall(value)
+    return bool(_APART & {*_SPLIT.split(low), *(w.lower() for w in ends[:1] + ends[-1:])})
 
 
 def stand_in(value: str) -> bool:
-    """A default or guess by its form: known words of such make up more than half of it, as is or in leet."""
+    """A default or guess by its form: known words of such make up more than half of it, as is or in leet, and the rest isn't structured."""
+    if structured(re.sub(_STAND_IN.pattern, "", value, flags=re.IGNORECASE)):
+        return False
     if re.fullmatch(r"[A-Za-z0-9+/]{6,}={0,2}", value) and len(value) % 4 == 0:
         # user:password of a basic header
         pair = base64.b64decode(value)
@@ -151,6 +181,26 @@ def _named(text: str, word: re.Match) -> bool:
     return not before.isalpha() or (word[0][0].isupper() and before.islower())
 
 
+class _Spans:
+    """Parts of a text, joined where they meet; a place is looked up by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            self.add(start, end)
+
+    def add(self, start: int, end: int) -> None:
+        i, j = bisect.bisect_left(self.ends, start), bisect.bisect_right(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+    def __contains__(self, at: int) -> bool:
+        i = bisect.bisect_right(self.starts, at) - 1
+        return i >= 0 and at < self.ends[i]
+
+
 def literals(text: str) -> list[tuple[int, str, str, int]]:
     """All candidate literals of a text: (start, value, kind, end), one per start.
 
@@ -174,17 +224,18 @@ def literals(text: str) -> list[tuple[int, str, str, int]]:
         hidden.append((m.start() + 1, stop))
         if body:
             found[m.start()] = (text[m.start() : stop], "key", stop)
-    inside = lambda at: any(a <= at < b for a, b in hidden)
+    covered = _Spans([*hidden, *((start, end) for start, (_, _, end) in found.items())])
 
     def add(m: re.Match, kind: str) -> bool:
         start, stop = m.span("v")
-        if not m["v"] or inside(start) or any(s <= start < e for s, (_, _, e) in found.items()):
+        if not m["v"] or start in covered:
             return False
         value = m["v"]
         if "q" in m.re.groupindex and m["q"]:
             while more := MORE.match(text, stop):
                 value, stop = value + more["v"], more.end("v")
         found[start] = (value, kind, stop)
+        covered.add(start, stop)
         return True
 
     for word in WORD.finditer(text):

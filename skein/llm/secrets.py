@@ -3,32 +3,36 @@
 1. Every text is scanned once for literals in places that hold credentials, and for literals that
    look issued by a machine.
 2. The literals are indexed corpus-wide: how many owners (sessions) use each. What has the form of a
-   default or a guess and many owners is a placeholder. Other forms stay however many share them, as
-   one file copied into many sessions gives its credentials many owners.
+   default or a guess and is used by more than a share of all owners is a placeholder. Other forms
+   stay however many share them, as one file copied into many sessions gives its credentials many
+   owners.
 3. Literals of credential form are confirmed, those of default form only where they are rare.
-4. Every text is scanned again for the confirmed values with an Aho-Corasick automaton, so a secret
-   is also found where nothing around it says what it is. The values go to the executors in blocks
-   of bounded size, one scan a block.
+4. Every text is scanned again for the confirmed values, so a secret is also found where nothing
+   around it says what it is. Each value is known by its longest word; the words of every text are
+   looked up in a bitmap of bounded size, and the texts that pass are joined with their values and
+   searched with an Aho-Corasick automaton over the values of the batch. The number of scans is the
+   same however many values there are, and none goes to the driver.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.sketch import bitmap
 from skein.llm import secret_patterns as patterns
 from skein.session import cut
 
-#: A literal of default form used by more owners than this is a shared placeholder.
-MOST_OWNERS = 10
-#: Confirmed values in one automaton: at most this many are broadcast at once.
-BLOCK_VALUES = 50_000
-#: Shorter values are not searched for beyond the places that gave them away.
-LEAST_RESCAN = 8
+#: A literal of default form used by more than this share of all owners is a shared placeholder ...
+MOST_SHARE = 0.005
+#: ... if there are owners enough to speak of a share.
+LEAST_OWNERS = 10
 
 FIELDS = ("content", "input")
 
@@ -47,7 +51,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for field, text in _views(block):
                 for start, value, kind, end in patterns.literals(text):
                     shaped = not patterns.placeholder(value) if kind != "key" else True
-                    rows.append((block.block_id, block.session_id, field, start, end, value, kind, shaped, kind != "key" and patterns.stand_in(value)))
+                    default = kind != "key" and patterns.stand_in(value)
+                    rows.append((block.block_id, block.session_id, field, start, end, value, kind, shaped, default))
         yield pd.DataFrame(rows, columns=["block_id", "session_id", "field", "start_pos", "end_pos", "value", "kind", "shaped", "stand_in"])
 
 
@@ -73,71 +78,108 @@ def literal_index(literals: DataFrame) -> DataFrame:
     return pairs.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("places"))
 
 
-def confirmed_secrets(literals: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Values that are of credential form; those of default form only if at most `most_owners` owners use them."""
+def confirmed_secrets(literals: DataFrame, owners: int, most_share: float = MOST_SHARE) -> DataFrame:
+    """Values that are of credential form; those of default form only if few of all `owners` use them."""
     shaped = literals.where(F.col("shaped"))
-    rare = literal_index(shaped.where(F.col("stand_in"))).where(F.col("owners") <= most_owners)
+    rare = literal_index(shaped.where(F.col("stand_in"))).where(F.col("owners") <= max(LEAST_OWNERS, most_share * owners))
     return literal_index(shaped.where(~F.col("stand_in"))).unionByName(rare)
 
 
-def _rescanner(values):
+_WORD = re.compile(r"\w+")
+
+
+def _number(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each value with the hash of its longest word: where the value stands apart, so does that word."""
+    for pdf in batches:
+        words = [max(_WORD.findall(v), key=len, default=None) for v in pdf["value"]]
+        yield pd.DataFrame([(v, _number(w)) for v, w in zip(pdf["value"], words) if w], columns=["value", "anchor"])
+
+
+def _word_scan(members):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for value in values.value:
-            automaton.add_word(value, value)
-        automaton.make_automaton()
         for pdf in batches:
-            rows = []
+            ids, words = [], []
             for block in pdf.itertuples(index=False):
-                for field, text in _views(block):
-                    for last, value in automaton.iter(text):
-                        start, end = last + 1 - len(value), last + 1
-                        if (start and (text[start - 1].isalnum() or text[start - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_")):
-                            continue
-                        rows.append((block.block_id, field, start, end, value))
-            yield pd.DataFrame(rows, columns=["block_id", "field", "start_pos", "end_pos", "value"])
+                own = set()
+                for _, text in _views(block):
+                    own.update(_WORD.findall(text))
+                words.extend(own)
+                ids.extend([block.block_id] * len(own))
+            known = {w: _number(w) for w in set(words)}
+            out = pd.DataFrame({"block_id": ids, "anchor": [known[w] for w in words]}).astype("int64")
+            yield out[members.value(out["anchor"].to_numpy())]
 
     return scan
 
 
-def find_secrets(blocks: DataFrame, most_owners: int = MOST_OWNERS, block_values: int = BLOCK_VALUES) -> DataFrame:
+def _rescan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        automaton = ahocorasick.Automaton()
+        for values in pdf["values"]:
+            for value in values:
+                automaton.add_word(value, len(value))
+        automaton.make_automaton()
+        rows = []
+        for block in pdf.itertuples(index=False):
+            for field, text in _views(block):
+                for last, size in automaton.iter(text):
+                    start, end = last + 1 - size, last + 1
+                    if (start and (text[start - 1].isalnum() or text[start - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+                        continue
+                    rows.append((block.block_id, field, start, end))
+        yield pd.DataFrame(rows, columns=["block_id", "field", "start_pos", "end_pos"])
+
+
+def _apart(spans: pd.Series) -> pd.Series:
+    """Of spans that overlap the one that starts first; of those that start together the longest."""
+    out = []
+    for held in spans:
+        kept, end = [], -1
+        for s in sorted(((x["start_pos"], -x["end_pos"]) for x in held)):
+            if s[0] >= end:
+                kept.append({"start_pos": s[0], "end_pos": -s[1]})
+                end = -s[1]
+        out.append(kept)
+    return pd.Series(out)
+
+
+def find_secrets(blocks: DataFrame, most_share: float = MOST_SHARE) -> DataFrame:
     """All places of confirmed secrets: block_id, field, start_pos, end_pos.
 
     Positions count code points of the column as stored; a secret in pieces has the start of its
     first and the end of its last piece. Repeated rows give one row. Where hits overlap, as a
     value inside a private key or a longer value, the one that starts first stays (the longest of
-    those that start together).
+    those that start together). Private keys are found by their own first line, so they are not
+    searched for again.
     """
     literals = cut(candidate_literals(blocks))
-    secrets = cut(confirmed_secrets(literals, most_owners).select("value"))
-    places = literals.where("shaped").join(secrets, "value", "left_semi").select("block_id", "field", "start_pos", "end_pos")
-    spread = secrets.where(F.length("value") >= LEAST_RESCAN).where(~F.col("value").startswith("-----BEGIN"))
-    count = spread.count()
-    parts = -(-count // block_values)
-    src = blocks.where(F.col("block_id").isNotNull() & (F.col("content").isNotNull() | F.col("input").isNotNull()))
-    src = src.select("block_id", "session_id", *FIELDS)
-    for part in range(parts):
-        # at most about block_values short strings; the next block follows with its own scan
-        rows = spread.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == part).toLocalIterator()
-        values = blocks.sparkSession.sparkContext.broadcast([r.value for r in rows])
-        hits = src.mapInPandas(_rescanner(values), "block_id long, field string, start_pos long, end_pos long, value string")
-        places = places.unionByName(hits.drop("value"))
-    ends = places.groupBy("block_id", "field", "start_pos").agg(F.max("end_pos").alias("end_pos"))
-    of_field = ends.groupBy("block_id", "field").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("all"))
-    kept = F.aggregate(
-        "all", F.array().cast("array<struct<start_pos:bigint,end_pos:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end_pos"] > x["start_pos"]), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return of_field.select("block_id", "field", F.explode(kept).alias("s")).select("block_id", "field", "s.start_pos", "s.end_pos")
+    owners = blocks.select("session_id").distinct().count()
+    secrets = cut(confirmed_secrets(literals, owners, most_share).select("value"))
+    found = literals.where("shaped").join(secrets, "value", "left_semi").select("block_id", "field", "start_pos", "end_pos")
+    spread = secrets.where(~F.col("value").startswith("-----BEGIN"))
+    anchors = cut(spread.mapInPandas(_anchors, "value string, anchor long"))
+    src = blocks.where(F.col("block_id").isNotNull() & (F.col("content").isNotNull() | F.col("input").isNotNull())).select("block_id", *FIELDS)
+    near = src.mapInPandas(_word_scan(bitmap(anchors, "anchor")), "block_id long, anchor long").distinct()
+    wanted = near.join(anchors, "anchor").groupBy("block_id").agg(F.collect_set("value").alias("values"))
+    again = src.join(wanted, "block_id").mapInPandas(_rescan, "block_id long, field string, start_pos long, end_pos long")
+    spans = found.unionByName(again).distinct().groupBy("block_id", "field").agg(F.collect_list(F.struct("start_pos", "end_pos")).alias("all"))
+    apart = F.pandas_udf(_apart, "array<struct<start_pos:bigint,end_pos:bigint>>")
+    return spans.select("block_id", "field", F.explode(apart("all")).alias("s")).select("block_id", "field", "s.start_pos", "s.end_pos")
 
 
 def _blank(text: pd.Series, spans: pd.Series) -> pd.Series:
     def one(t, s):
         if t is None or s is None:
             return t
-        for at in sorted(s, key=lambda x: -x["start_pos"]):
-            t = t[: at["start_pos"]] + "REDACTED" + t[at["end_pos"] :]
-        return t
+        parts, end = [], 0
+        for at in sorted(s, key=lambda x: x["start_pos"]):
+            parts += [t[end : at["start_pos"]], "REDACTED"]
+            end = at["end_pos"]
+        return "".join(parts) + t[end:]
 
     return pd.Series([one(t, s) for t, s in zip(text, spans)])
 

@@ -104,7 +104,7 @@ def test_secrets_over_a_corpus(spark):
     rows = [(1, "a", f'password = "{SECRET}"', None, None), (2, "b", f"seen {SECRET} here, not Z{SECRET[:6]}", None, None), (3, "c", key, json.dumps({"k": key}), None), (9, "z", None, None, None), (10, "z", "", "", None), (None, "z", f'password = "{SECRET}"', None, None)]
     rows += [(20 + i, f"s{i}", 'password = "Wide1Shared2Default3"', None, None) for i in range(12)] + [(1, "a", f'password = "{SECRET}"', None, None)]
     df = blocks(spark, rows)
-    found = secrets.find_secrets(df, most_owners=10, block_values=1)
+    found = secrets.find_secrets(df)
     stored = json.dumps({"k": key})
     assert {(r.block_id, r.field, r.start_pos) for r in found.collect()} == {(1, "content", 12), (2, "content", 5), (3, "content", 0), (3, "input", stored.index("-----"))}
     clean = {r.block_id: (r.content, r.input) for r in secrets.redact(df, found).collect()}
@@ -130,6 +130,28 @@ def test_copies_keep_credentials_and_cut_off_keys(spark):
     assert [two[h[0] : h[3]] for h in secret_patterns.literals(two)] == [(head + body(1)).removesuffix("\nAb1"), key]
 
 
+def test_no_secret_is_lost_to_numbers_or_words(spark):
+    live = "sk_live_9aZ3kQ7mT1xW5vB8"
+    rows = [(i, f"s{i}", f'api_key = "{live}"', None, None) for i in range(40)]
+    rows += [(100, "a", 'password = "Q7x!p"', None, None), (101, "b", "we typed Q7x!p there, not aQ7x!p", None, None)]
+    rows += [(200, "a", 'password = "aNoneQ8LmT2pWx7Rb5Yc"', None, None), (201, "a", 'passphrase = "harbour lantern copper meadow"', None, None), (202, "a", 'password = "Please enter a password"', None, None), (203, "a", 'token = "your-token-here"', None, None)]
+    found = {(r.block_id, r.start_pos) for r in secrets.find_secrets(blocks(spark, rows)).collect()}
+    assert found == {(i, 11) for i in range(40)} | {(100, 12), (101, 9), (200, 12), (201, 14)}
+
+
+def test_the_next_key_is_no_piece():
+    for value, count in (("xxxxxxxxxxxx", 0), (SECRET, 1)):
+        hits = [h for h in secret_patterns.literals(f"api_key = '{value}'\n  \"steiv_row\": 12") if not secret_patterns.placeholder(h[1])]
+        assert [h[1] for h in hits] == [value] * count
+
+
+def test_many_places_in_one_text():
+    text = "\n".join(f'password = "{SECRET}{i}x"' for i in range(3000))
+    assert len(secret_patterns.literals(text)) == 3000
+    spans = secret_patterns._Spans([(5, 9), (0, 3), (2, 6), (20, 30)])
+    assert [at for at in range(40) if at in spans] == [*range(0, 9), *range(20, 30)]
+
+
 def test_text_after_a_public_header_without_end():
     for head in ("-----BEGIN CERTIFICATE-----", "-----BEGIN PUBLIC KEY-----"):
         for text in (f'if "{head}" in text:\n    password = "{SECRET}"', f"{head}\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A\nA1b2C3d4E5f6G7h8A1b2\n\npassword: {SECRET}"):
