@@ -49,8 +49,10 @@ def test_shared_spans(spark):
     rows = [(i, "s", word(random.randint(0, 80)) + random.choice([*common, ""]) + word(40) + random.choice(common)[: random.choice([63, 70, 200])], None, None) for i in range(40)]
     rows += [(100, "s", None, None, common[3]), (101, "s", common[3], None, common[3]), (102, "s", "a" * 900, None, None), (103, "s", "a" * 700 + "b", None, None), (104, "s", None, None, None), (105, "s", "", None, ""), (None, "s", common[3], None, None)]
     rows += rows[:6]
-    got = {(r.block_id, r.field, r.start_pos, r.end_pos) for r in spans.shared_spans(blocks(spark, rows), 64).collect()}
-    assert got == brute(rows, 64)
+    want = brute(rows, 64)
+    for most in (spans.MOST_WINDOWS, 300, 1):  # the last two split buckets, and count windows as rows
+        got = {(r.block_id, r.field, r.start_pos, r.end_pos) for r in spans.shared_spans(blocks(spark, rows), 64, most).collect()}
+        assert got == want, most
 
 
 def test_repeats_inside_one_block_are_not_shared(spark):
