@@ -179,7 +179,7 @@ def test_leaks(spark):
     ]
     got = {tuple(r) for r in leaks.leaked_items(docs(spark, rows), items).collect()}
     assert got == {(1, 1), (3, 1), (4, 1), (8, 1), (8, 4), (10, 1)}
-    blocked = leaks.leaked_spans(docs(spark, rows), items, block_chars=10)
+    blocked = leaks.leaked_spans(docs(spark, rows), items, block_words=10)
     assert {(r.doc_id, r.item_id) for r in blocked.collect()} == got
     spot = [r for r in blocked.collect() if r.doc_id == 1][0]
     assert (spot.start_pos, spot.words) == (2, 25) and rows[0][1][spot.start_pos : spot.end_pos] == " ".join(words[:25]).upper()
@@ -187,6 +187,35 @@ def test_leaks(spark):
     assert leaks.leaked_items(docs(spark, []), items).count() == 0 and leaks.leaked_items(docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_leaks_against_all_windows():
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefg")
+    items = [(i, " ".join(word() for _ in range(rng.randint(3, 40)))) for i in range(30)]
+    passages = leaks.Passages(items, 6)
+    for _ in range(60):
+        line = [w for part in range(4) for w in (items[rng.randrange(30)][1].split()[rng.randint(0, 3) :][: rng.randint(1, 12)] + [word()])]
+        placed = [(w, 2 * i, 2 * i + 1) for i, w in enumerate(line)]
+        got = {(item, k) for item, a, b in passages.spans(placed) for k in range(a, b + 1)}
+        want = set()
+        for item, text in items:
+            own = text.split()
+            held = {tuple(own[i : i + 6]) for i in range(len(own) - 5)}
+            want |= {(item, k) for at in range(len(line) - 5) if tuple(line[at : at + 6]) in held for k in range(at, at + 6)}
+        assert got == want
+
+
+def test_memory_of_many_items():
+    import resource
+
+    rng = random.Random(9)
+    known = [f"word{i}" for i in range(50_000)]
+    items = [(i, " ".join(rng.choices(known, k=200))) for i in range(5_000)]  # 9 million characters
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    passages = leaks.Passages(items, 25)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1000
+    assert passages.automaton.get_stats()["nodes_count"] <= 1_000_001
+
+
 # ---- mixture
 
 
