@@ -265,6 +265,19 @@ def test_cells_raked_as_a_table(spark):
     assert len(got) == len(cells) and np.allclose([got[c[:3]] for c in cells], want, rtol=1e-9)
 
 
+def test_any_number_of_sources(spark):
+    docs_ = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"), F.lit(None).cast("string").alias("agenda_item"))
+    goal = spark.range(60_000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1.0).alias("weight"), F.lit(1).alias("max_repeats"))
+    out = mixture.mix(docs_, goal).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("s"), F.max("repeats").alias("r")).collect()[0]
+    assert tuple(out) == (60_000, 60_000, 1)
+
+
+def test_titles_are_taken_from_the_agenda(spark):
+    rows = [(1, "a", "en", "s", "A1", "Bill on the Xa water levy"), (2, "a", "en", "s", "A1", "BILL ON THE XA WATER LEVY (continued)"), (3, "a", "en", "s", "A1", "Bill on the X..."), (4, "a", "en", "s", "A1", None), (5, "a", "en", "s", None, "Report on the Yo school fund"), (6, "a", "en", "s", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, agenda_id string, agenda_item string")
+    assert {r.doc_id: r.topic for r in mixture.counted(df).collect()} == {1: "water levy", 2: "water levy", 3: "water levy", 4: "water levy", 5: "school fund", 6: "none"}
+
+
 # ---- residue
 
 SPEECH = "The amendment would repair the court archive and leave the other one untouched."
