@@ -45,6 +45,31 @@ def test_lattice_and_union(spark):
     assert drift.schema_changes(drift.field_values(empty), files).count() == 0 and drift.unified_calls(empty, files).count() == 0
 
 
+def test_numbers_keep_their_digits(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    inputs = [
+        {"a": 9007199254740993, "b": 1, "c": 9007199254740993, "d": 1e300, "e": 3, "f": True, "w": {"x": 1}}, {"a": 2, "b": 0.5, "c": 0.25, "d": 9007199254740993, "e": 10**30, "f": False}, {"a": -1, "e": "x", "w": {"x": None}},
+    ]
+    rows = [("f1", i, "A", f"c{i}", json.dumps(v), "") for i, v in enumerate(inputs)]
+    files = spark.createDataFrame([("f1", "p", dt.datetime(2030, 1, 1))], FILES)
+    out = drift.unified_calls(spark.createDataFrame(rows, CALLS), files)
+    assert {k: v for k, v in out.dtypes if k in "abcdef"} == {"a": "bigint", "b": "double", "c": "decimal(38,18)", "d": "string", "e": "string", "f": "boolean"}
+    got = {r.call_id: r for r in out.collect()}
+    assert got["c0"].a == 9007199254740993 and got["c0"].c == Decimal(9007199254740993) and got["c1"].d == "9007199254740993" and got["c1"].e == str(10**30) and got["c1"].b == 0.5
+    as_map = drift.unified_calls(spark.createDataFrame(rows, CALLS), files, most_fields=2)
+    assert {r.call_id: r.fields for r in as_map.collect()}["c2"] == {"a": "-1", "e": "x"}
+
+
+def test_files_are_numbered_across_days(spark):
+    import datetime as dt
+
+    files = spark.createDataFrame([(f"f{i}", "p", dt.datetime(2030, 1, 1 + i // 3, i) if i else None) for i in range(12)], FILES)
+    known = spark.createDataFrame([(f"f{i}", "A") for i in range(12)], "path string, name string")
+    assert {r.path: r.no for r in drift._sequence(known, files).collect()} == {f"f{i}": i + 1 for i in range(12)}
+
+
 def test_strict_json():
     assert parse('{"a":NaN}') is None and parse("[1.0,1]") == ["1.0", "1"] and parse(None) is None and parse("") is None and parse('{"a":1,"a":2}') == {"a": "2"}
 
