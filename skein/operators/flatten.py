@@ -7,6 +7,7 @@ array level is exploded into rows of its own: an object in an array becomes a ro
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ from skein.session import cut
 OPENED = ("message", "input")
 #: Path of the line itself; the paths of what its fields but `message` hold start with it.
 LINE = "$"
+#: Columns of a wide table.
+MOST_FIELDS = 5000
 #: Field of a row that is no object but a value: an element of an array, or a whole line.
 VALUE = "#value"
 
@@ -167,21 +170,87 @@ def flat_nodes(lines: DataFrame) -> DataFrame:
     return _explode(lines, _node_rows)
 
 
-def element_paths(lines: DataFrame) -> DataFrame:
-    """Only the keys: line_id, node_path, parent_path of objects that are elements of arrays."""
-    schema = "line_id long, node_path string, parent_path string"
+def _skeletons(message, most: int) -> Iterator[tuple]:
+    """(path, parent path, table, ordinal, skeleton, depth) of a message: its containers alone, 0 for anything else in an array.
+
+    A container that lies deeper than `most` begins a skeleton of its own.
+    """
+    roots = [(message, "", "", "", None)]
+    while roots:
+        root = roots.pop()
+        top: dict | list = {} if isinstance(root[0], dict) else []
+        stack, deepest = [(*root, top, 1)], 1
+        while stack:
+            value, path, parent, table, ordinal, out, depth = stack.pop()
+            deepest = max(deepest, depth)
+            named = isinstance(value, dict)
+            inside = path if named and ordinal is not None else parent
+            for key, inner in value.items() if named else enumerate(value):
+                if named and key in OPENED:
+                    inner = as_object(inner) or inner
+                child: dict | list | int = {} if isinstance(inner, dict) else [] if isinstance(inner, list) else 0
+                if child != 0:
+                    step = (f"{path}.{key}" if path else key, inside, f"{table}.{key}" if table else key, None) if named else (f"{path}[{key}]", inside, f"{table}[]", key)
+                    if depth >= most:
+                        roots.append((inner, *step))
+                        child = 0
+                    else:
+                        stack.append((inner, *step, child, depth + 1))
+                if not named:
+                    out.append(child)
+                elif child != 0:
+                    out[key] = child
+        yield (*root[1:], json.dumps(top), deepest)
+
+
+def _level(rows: DataFrame) -> DataFrame:
+    """One level further down: every container gives way to the containers in it, and an object that is an element becomes a row that is done."""
+    kept = F.struct("node_path", "parent_path", "table_path", "ordinal", F.lit(None).cast("variant").alias("v"))
+    fields, elements = F.expr("try_cast(v as map<string,variant>)"), F.expr("try_cast(v as array<variant>)")
+    below = F.when(F.col("ordinal").isNotNull(), F.col("node_path")).otherwise(F.col("parent_path"))
+    dot = lambda c, k: F.when(F.col(c) == "", k).otherwise(F.concat(c, F.lit("."), k))
+    named = lambda e: F.struct(dot("node_path", e["key"]).alias("node_path"), below.alias("parent_path"), dot("table_path", e["key"]).alias("table_path"), F.lit(None).cast("long").alias("ordinal"), e["value"].alias("v"))
+    numbered = lambda x, i: F.struct(F.concat("node_path", F.lit("["), i.cast("string"), F.lit("]")).alias("node_path"), F.col("parent_path"), F.concat("table_path", F.lit("[]")).alias("table_path"), i.cast("long").alias("ordinal"), x.alias("v"))
+    own = F.when(F.col("m").isNotNull() & F.col("ordinal").isNotNull(), F.array(kept)).otherwise(F.array().cast("array<struct<node_path:string,parent_path:string,table_path:string,ordinal:bigint,v:variant>>"))
+    children = F.when(F.col("m").isNotNull(), F.transform(F.map_entries("m"), named)).when(F.col("a").isNotNull(), F.transform("a", numbered))
+    split = rows.withColumn("m", fields).withColumn("a", elements)
+    all_ = F.when(F.col("v").isNull(), F.array(kept)).otherwise(F.concat(own, F.coalesce(children, F.array().cast("array<struct<node_path:string,parent_path:string,table_path:string,ordinal:bigint,v:variant>>"))))
+    return split.select("line_id", F.explode(all_).alias("r")).select("line_id", "r.*")
+
+
+def element_rows(lines: DataFrame, most_depth: int = 64, at_once: int = 8) -> DataFrame:
+    """The objects of all array levels inside `message`: line_id, node_path, parent_path, table_path, ordinal.
+
+    The schema of all messages is merged first: which containers there are below which, and so how
+    many levels there are. Then each level is exploded into the next, every row with its path (its
+    key), its parent's and its ordinal, without an exchange. Python only reads the JSON strictly and
+    opens the JSON text in it. A line given twice counts once; lines that are no JSON give nothing.
+    """
 
-    def keys(batches):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for line, raw in zip(pdf["line_id"], pdf["raw"]):
                 message = _message(raw)
                 if isinstance(message, (dict, list)):
-                    rows.extend((line, path, parent) for path, parent, _, _, _ in nodes(message))
-            yield pd.DataFrame(rows, columns=["line_id", "node_path", "parent_path"])
+                    rows.extend((line, *part) for part in _skeletons(message, most_depth))
+            yield pd.DataFrame(rows, columns=["line_id", "node_path", "parent_path", "table_path", "ordinal", "skeleton", "depth"]).astype({"ordinal": "Int64"})
 
+    schema = "line_id long, node_path string, parent_path string, table_path string, ordinal long, skeleton string, depth long"
     src = lines.where(F.col("line_id").isNotNull() & F.col("raw").isNotNull()).select("line_id", "raw")
-    return src.mapInPandas(keys, schema).distinct()
+    read_ = cut(src.mapInPandas(read, schema))
+    depth = read_.agg(F.max("depth")).first()[0] or 0
+    rows = read_.select("line_id", "node_path", "parent_path", "table_path", "ordinal", F.try_parse_json("skeleton").alias("v"))
+    for level in range(depth):
+        rows = _level(rows)
+        if level % at_once == at_once - 1 and level + 1 < depth:  # records this deep are rare; the plan stays small
+            rows = cut(rows.withColumn("v", F.to_json("v"))).withColumn("v", F.try_parse_json("v"))
+    return rows.where(F.col("v").isNull() & F.col("ordinal").isNotNull()).select("line_id", "node_path", "parent_path", "table_path", "ordinal").distinct()
+
+
+def element_paths(lines: DataFrame) -> DataFrame:
+    """Only the keys: line_id, node_path, parent_path of objects that are elements of arrays."""
+    return element_rows(lines).select("line_id", "node_path", "parent_path")
 
 
 def _schema_of(rows: DataFrame) -> DataFrame:
@@ -216,11 +285,12 @@ def child_table(lines: DataFrame, table_path: str) -> DataFrame:
     """The flat table of one array level, with a column for every field the level has anywhere.
 
     Keys: line_id, node_path, parent_path, ordinal; fields that clash with them get a trailing
-    underscore. The level's field names are brought to the driver, its data is not.
+    underscore. The level's field names are brought to the driver, its data is not; a level with
+    more than MOST_FIELDS fields has them as one map, `fields`.
     """
     rows = flat_rows(lines).where(F.col("table_path") == table_path)
-    names = sorted(r.field for r in _schema_of(rows).select("field").limit(5001).collect())
-    if len(names) > 5000:
-        raise ValueError("more than 5000 fields")
+    names = sorted(r.field for r in _schema_of(rows).select("field").limit(MOST_FIELDS + 1).collect())
+    if len(names) > MOST_FIELDS:
+        return rows.select("line_id", "node_path", "parent_path", "ordinal", "fields")
     keys = ["line_id", "node_path", "parent_path", "ordinal"]
     return rows.select(*keys, *[F.col("fields")[n].alias(f"{n}_" if n in keys else n) for n in names])

@@ -90,6 +90,18 @@ def test_nested_records(spark):
     assert flatten.merged_schema(df).count() > 0 and flatten.flat_nodes(df.limit(0)).count() == 0
 
 
+def test_levels_of_deep_records(spark):
+    deep: object = {"end": [{}]}
+    for i in range(60):
+        deep = {"k.x": deep} if i % 3 else [0, deep]
+    many = [{"a": [{"b": [{"input": json.dumps({"c": [{}, 1, {}]})}]}]}] * 3
+    df = spark.createDataFrame([(1, json.dumps({"message": {"content": deep}})), (2, json.dumps({"message": {"content": many}}))], "line_id long, raw string")
+    want = {(line, p, up, t, i) for line, message in ((1, {"content": deep}), (2, {"content": many})) for p, up, t, i, _ in flatten.nodes(message)}
+    for most in (64, 5):
+        assert {tuple(r) for r in flatten.element_rows(df, most, 3).collect()} == want
+    assert flatten.element_rows(df.limit(0)).count() == 0
+
+
 def test_lines_and_scalar_elements(spark):
     message = {"content": ["s", {"n": 1, "tags": ["a", "b"], "#": [[1, None], [], [2.0]]}, 7, None, True]}
     raws = [
