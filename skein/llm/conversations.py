@@ -1,151 +1,152 @@
 """Conversations rebuilt from message rows: reply order, cycles, role alternation, completeness.
 
-The reply graph of a session (every line points to the line it answers) is sorted topologically
-with Kahn's algorithm, of the lines that are free the one first by time (line number) next. Lines
-that never become free lie on a cycle or hang below one.
-
-Kahn's algorithm runs inside chunks of bounded size. A reply to an earlier chunk is free from the
-start, since that chunk comes first. What stays blocked in its chunk - it answers a line of a later
-chunk, or lies on a cycle - forms a residual graph, normally empty, that is released in distributed
-rounds until a round releases nothing. The order is carried as a sort key: a line in its natural
-place has the key [its number]; one that had to wait has the key of the line it waited for,
-followed by its own number. Sorting by key gives exactly Kahn's order over the whole session.
+The reply graph of a session (every line points to the line it answers) is sorted topologically with
+Kahn's algorithm, of the lines that are free the earliest next. Lines that never become free lie on
+a cycle or hang below one.
+
+Kahn's algorithm runs inside chunks of bounded size. It gives every line the latest line it has to
+wait for (its peak) and its depth among replies, as far as these lie in the chunk, and the line of
+another chunk that its first ancestor answers, if any. These few lines of other chunks, the portals,
+point to each other in the same way; their pointers are doubled, so the number of rounds is the
+logarithm of the longest chain of chunks, and what points on after that lies on a cycle. Sorting by
+(peak, depth, own time and number) is Kahn's order: a line in its natural place is its own peak, and
+one that had to wait follows what it waited for.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.lines import once
+from skein.operators.lines import nearest, once
 from skein.session import CHUNK_LINES, cut
 
 
 def _kahn_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kahn's algorithm over one chunk; `key` stays null for lines that aren't released."""
-    lines = pdf["line_index"].tolist()
+    """Kahn's algorithm over one chunk: adds peak_time, peak_line, depth, above (an ancestor's line in another chunk) and cyclic."""
+    lines, times = pdf["line_index"].tolist(), pdf["time"].tolist()
     parents = [None if pd.isna(p) else int(p) for p in pdf["parent_line"]]
     inside = {line: i for i, line in enumerate(lines)}
-    first = min(lines)
     children: dict[int, list[int]] = {}
-    keys: list[list[int] | None] = [None] * len(lines)
-    free: list[tuple[int, int]] = []
-    for i, (line, parent) in enumerate(zip(lines, parents)):
-        if parent is None or (parent < first and parent not in inside):
-            free.append((line, i))
-        elif parent in inside:
+    free = []
+    for i, parent in enumerate(parents):
+        if parent in inside:
             children.setdefault(inside[parent], []).append(i)
-    heapq.heapify(free)
-    while free:
-        line, i = heapq.heappop(free)
-        up = keys[inside[parents[i]]] if parents[i] is not None and parents[i] in inside else []
-        keys[i] = _under(up, line)
+        else:
+            free.append(i)
+    peaks, depths, above = list(zip(times, lines)), [0] * len(lines), [parents[i] if parents[i] not in inside else None for i in range(len(lines))]
+    cyclic = [True] * len(lines)
+    for i in free:  # grows as lines become free
+        cyclic[i] = False
         for child in children.get(i, ()):
-            heapq.heappush(free, (lines[child], child))
-    return pdf.assign(key=keys)
-
-
-def _under(parent_key: list[int], line: int) -> list[int]:
-    """Key of a line below a parent: what the line waited for, then its own number."""
-    return [k for k in parent_key if k > line] + [line]
+            peaks[child] = max(peaks[child], peaks[i])
+            depths[child], above[child] = depths[i] + 1, above[i]
+            free.append(child)
+    return pdf.assign(
+        peak_time=[t for t, _ in peaks], peak_line=[n for _, n in peaks], depth=depths, above=pd.array([None if c else a for a, c in zip(above, cyclic)], dtype="Int64"), cyclic=cyclic
+    )
 
 
-def reply_order(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def _doubled(portals: DataFrame) -> DataFrame:
+    """Portals (session_id, line_index, peak, depth, above, cyclic) with all that lies above them taken in."""
+    while True:
+        up = portals.select("session_id", F.col("line_index").alias("above"), F.col("peak").alias("p"), F.col("depth").alias("d"), F.col("above").alias("a"), F.col("cyclic").alias("c"))
+        next_ = portals.join(up, ["session_id", "above"], "left")
+        known = F.col("p").isNotNull()
+        # a pointer that has gone further than there are lines in the session goes round and round
+        portals = cut(next_.select(
+            "session_id", "line_index", F.when(known, F.greatest("peak", "p")).otherwise(F.col("peak")).alias("peak"), F.when(known, F.col("depth") + F.col("d") + 1).otherwise(F.col("depth")).alias("depth"),
+            F.when(known, F.col("a")).alias("above"), (F.col("cyclic") | F.coalesce("c", F.lit(False))).alias("cyclic"), "most",
+        ))
+        on = portals.where(F.col("above").isNotNull() & ~F.col("cyclic") & (F.col("depth") <= F.col("most")))
+        if on.isEmpty():
+            return portals.select("session_id", "line_index", "peak", "depth", (F.col("cyclic") | F.col("above").isNotNull()).alias("cyclic"))
+
+
+def _released(nodes: DataFrame) -> DataFrame:
+    """Adds `key` and `cyclic` to nodes(session_id, chunk, line_index, time, parent_line, ...)."""
+    schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", peak_time bigint, peak_line bigint, depth bigint, above bigint, cyclic boolean"
+    done = cut(nodes.groupBy("session_id", "chunk").applyInPandas(_kahn_block, schema)).withColumn("peak", F.struct("peak_time", "peak_line"))
+    wanted = done.where("above is not null").select("session_id", F.col("above").alias("line_index")).distinct()
+    most = done.groupBy("session_id").agg(F.count(F.lit(1)).alias("most"))
+    portals = cut(done.join(wanted, ["session_id", "line_index"]).join(most, "session_id").select("session_id", "line_index", "peak", "depth", "above", "cyclic", "most"))
+    if not portals.isEmpty():
+        far = _doubled(portals).select("session_id", F.col("line_index").alias("above"), F.col("peak").alias("p"), F.col("depth").alias("d"), F.col("cyclic").alias("c"))
+        done = done.join(far, ["session_id", "above"], "left")
+        done = done.withColumn("cyclic", F.col("cyclic") | F.coalesce("c", F.lit(False)))
+        done = done.withColumn("peak", F.greatest("peak", "p")).withColumn("depth", F.col("depth") + F.coalesce(F.col("d") + 1, F.lit(0)))
+    key = F.struct(F.col("peak.peak_time").alias("peak_time"), F.col("peak.peak_line").alias("peak_line"), "depth", "time", F.col("line_index").alias("line"))
+    return done.select(*nodes.drop("chunk", "time").columns, F.when(~F.col("cyclic"), key).alias("key"), "cyclic")
+
+
+def _name(session: str, uuid: str) -> Column:
+    """A line's name in 128 bits; null without uuid."""
+    return F.when(F.col(uuid).isNotNull(), F.struct(F.xxhash64(session, uuid).alias("a"), F.xxhash64(F.lit(1), session, uuid).alias("b")))
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Lines (session_id, chunk, line_index, time, name, parent, ...) with parent_line and parent_missing instead of the names."""
+    named = rows.where("name is not null").groupBy(F.col("name").alias("parent")).agg(F.min("line_index").alias("parent_line"))
+    out = rows.drop("name").join(named, "parent", "left")
+    return out.withColumn("parent_missing", F.col("parent").isNotNull() & F.col("parent_line").isNull()).drop("parent")
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """`time` in microseconds; a line without one has that of the line before it."""
+    rows = nearest(rows.withColumn("at", F.col("ts")), {"seen": F.col("ts")}, ["line_index"])
+    time = F.unix_micros(F.coalesce("at", "seen").cast("timestamp"))
+    return rows.withColumn("time", F.coalesce(time, F.lit(-(1 << 62)))).drop("at", "ts", "seen")
+
+
+def reply_order(lines: DataFrame, chunk_lines: int = CHUNK_LINES, by_time: bool = True) -> DataFrame:
     """Kahn's order of every session's reply graph.
 
-    Input: session_id, line_index, uuid, parent_uuid, one row per line or repeated rows. Output,
-    one row per line: session_id, line_index, parent_line, parent_missing, key, cyclic.
-    Sorting a session by `key` gives its order; `key` is null where `cyclic`.
+    Input: session_id, line_index, uuid, parent_uuid, ts, one row per line or repeated rows. Output,
+    one row per line: session_id, line_index, parent_line, parent_missing, key, cyclic. Sorting a
+    session by `key` gives its order; `key` is null where `cyclic`.
 
-    A null parent_uuid is a root; one that names no line of the session is a root too, with
-    parent_missing set. Should a uuid name several lines of a session, the first is meant. Lines
-    without uuid can't be answered but keep their place. Empty tables give no rows.
+    Of lines that are free the earliest is next; a line without time has that of the line before
+    it, and equal times go by line number (all do unless `by_time`). A null parent_uuid is a root;
+    one that names no line of the session is a root too, with parent_missing set. Should a uuid name
+    several lines of a session, the first is meant. Lines without uuid can't be answered but keep
+    their place. Empty tables give no rows.
     """
-    rows = once(lines, ["session_id", "line_index"], ["uuid", "parent_uuid"], chunk_lines)
-    named = rows.where(F.col("uuid").isNotNull()).groupBy("session_id", F.col("uuid").alias("parent_uuid"))
-    named = named.agg(F.min("line_index").alias("parent_line"))
-    nodes = rows.join(named, ["session_id", "parent_uuid"], "left").select(
-        "session_id", "chunk", "line_index", "parent_line",
-        (F.col("parent_uuid").isNotNull() & F.col("parent_line").isNull()).alias("parent_missing"),
-    )
-    return _release(nodes, chunk_lines)
-
-
-def _release(nodes: DataFrame, chunk_lines: int) -> DataFrame:
-    """Adds `key` and `cyclic` to nodes(session_id, chunk, line_index, parent_line, ...)."""
-    schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", key array<bigint>"
-    done = cut(nodes.groupBy("session_id", "chunk").applyInPandas(_kahn_block, schema))
-    blocked = done.where(F.col("key").isNull())
-    if blocked.isEmpty():
-        return done.select("*", F.lit(False).alias("cyclic")).drop("chunk")
-    # replies in later chunks to what is blocked here wait too, and so on down
-    waiting = cut(blocked.drop("key"))
-    fresh = waiting
-    while True:
-        up = fresh.select("session_id", F.col("line_index").alias("parent_line")).distinct()
-        more = done.where(F.col("key").isNotNull()).drop("key").join(up, ["session_id", "parent_line"], "left_semi")
-        more = more.join(waiting.select("session_id", "line_index"), ["session_id", "line_index"], "left_anti")
-        fresh = cut(more.select(*waiting.columns))
-        if fresh.isEmpty():
-            break
-        waiting = cut(waiting.unionByName(fresh))
-    released = done.where(F.col("key").isNotNull()).join(
-        waiting.select("session_id", "line_index"), ["session_id", "line_index"], "left_anti"
-    )
-    out = released.select(*done.columns)
-    parents = released.join(
-        waiting.select("session_id", F.col("parent_line").alias("line_index")).distinct(), ["session_id", "line_index"], "left_semi"
-    ).select("session_id", F.col("line_index").alias("parent_line"), F.col("key").alias("up"))
-    while True:
-        key = F.concat(F.filter("up", lambda k: k > F.col("line_index")), F.array("line_index"))
-        ready = cut(waiting.join(parents, ["session_id", "parent_line"]).withColumn("key", key).select(*done.columns))
-        if ready.isEmpty():
-            break
-        out = out.unionByName(ready)
-        waiting = cut(waiting.join(ready.select("session_id", "line_index"), ["session_id", "line_index"], "left_anti"))
-        parents = ready.select("session_id", F.col("line_index").alias("parent_line"), F.col("key").alias("up"))
-    left = waiting.withColumn("key", F.lit(None).cast("array<bigint>")).select(*done.columns)
-    out = out.select("*", F.lit(False).alias("cyclic")).unionByName(left.select("*", F.lit(True).alias("cyclic")))
-    return out.drop("chunk")
+    src = lines.select("session_id", "line_index", _name("session_id", "uuid").alias("name"), _name("session_id", "parent_uuid").alias("parent"), *(["ts"] if by_time else []))
+    rows = once(src, ["session_id", "line_index"], ["name", "parent", *(["ts"] if by_time else [])], chunk_lines)
+    rows = _timed(rows) if by_time else rows.withColumn("time", F.lit(0).cast("long"))
+    return _released(_nodes(rows))
 
 
 def _filled(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
+def _spoken(lines: DataFrame) -> list[Column]:
+    """Columns of a line: turn, speaker, has_text, has_content, uses, results, text; null where it is no turn."""
+    blocks = F.coalesce(F.col("blocks"), F.expr("array()").cast(lines.schema["blocks"].dataType))
+    turn = F.coalesce(F.col("type").isin("user", "assistant"), F.lit(False)) & ~F.coalesce("is_sidechain", F.lit(False))
+    kinds = lambda kind: F.filter(blocks, lambda b: b["type"] == kind)
+    has_text = F.exists(blocks, lambda b: F.coalesce(b["type"] == "text", F.lit(False)) & _filled(b["text"]))
+    tools = F.exists(blocks, lambda b: F.coalesce(b["type"].isin("tool_use", "tool_result"), F.lit(False)))
+    text = F.array_join(F.transform(kinds("text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+    return [
+        turn.alias("turn"), F.when(turn, F.col("type")).alias("speaker"), (turn & has_text).alias("has_text"), (turn & (has_text | tools)).alias("has_content"),
+        F.when(turn, F.transform(kinds("tool_use"), lambda b: b["id"])).alias("uses"), F.when(turn, F.transform(kinds("tool_result"), lambda b: b["tool_use_id"])).alias("results"),
+        F.when(turn, text).alias("text"),
+    ]
+
+
 def conversation_turns(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """The turns of every session, in reply order, with what they hold.
+    """The turns of every session with what they hold: session_id, chunk, line_index, speaker, has_text, has_content, uses, results (tool ids), text.
 
     Input: the columns of `messages`. Turns are lines of type user or assistant off side branches
     (a null is_sidechain is on the main one); `type` says who speaks, whatever the role column
-    has. Output: session_id, line_index, speaker, key (sort key, see reply_order; null on a
-    cycle), cyclic, parent_missing, has_text, has_content, uses and results (tool ids), text.
-
-    Blocks that are null count as none, text that is blank as no text; thinking alone is no
+    has. Blocks that are null count as none, text that is blank as no text; thinking alone is no
     content.
     """
-    blocks = F.coalesce(F.col("blocks"), F.expr("array()").cast(lines.schema["blocks"].dataType))
-    turn = F.coalesce(F.col("type").isin("user", "assistant"), F.lit(False)) & ~F.coalesce("is_sidechain", F.lit(False))
-    kinds = lambda kind: F.filter(blocks, lambda b: b["type"] == kind)
-    text = F.array_join(F.transform(kinds("text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    src = lines.select(
-        "session_id", "line_index", "uuid", "parent_uuid", turn.alias("turn"),
-        F.when(turn, F.col("type")).alias("speaker"), F.when(turn, text).alias("text"),
-        F.when(turn, F.transform(kinds("tool_use"), lambda b: b["id"])).alias("uses"),
-        F.when(turn, F.transform(kinds("tool_result"), lambda b: b["tool_use_id"])).alias("results"),
-    )
-    order = reply_order(src, chunk_lines)
-    rows = once(src.where("turn"), ["session_id", "line_index"], ["speaker", "text", "uses", "results"], chunk_lines)
-    order = order.select("session_id", "line_index", "parent_missing", "key", "cyclic")
-    rows = rows.join(order, ["session_id", "line_index"])
-    has_text = _filled(F.col("text"))
-    return rows.select(
-        "session_id", "line_index", "chunk", "speaker", "key", "cyclic", "parent_missing", has_text.alias("has_text"),
-        (has_text | (F.size("uses") > 0) | (F.size("results") > 0)).alias("has_content"), "uses", "results", "text",
-    )
+    src = lines.select("session_id", "line_index", *_spoken(lines)).where("turn")
+    return once(src, ["session_id", "line_index"], ["speaker", "has_text", "has_content", "uses", "results", "text"], chunk_lines)
 
 
 def _no_reply(turns: DataFrame) -> DataFrame:
@@ -181,14 +182,19 @@ def session_defects(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFra
     tool_result without use in an earlier turn (a null id is no match), a parent_uuid that names
     no line, or turns on a reply cycle. Turns follow each other by line_index.
     """
-    return defects_of(cut(conversation_turns(lines, chunk_lines).drop("text")), lines)
+    names = [_name("session_id", "uuid").alias("name"), _name("session_id", "parent_uuid").alias("parent")]
+    src = lines.select("session_id", "line_index", *names, *_spoken(lines)[:-1])
+    kept = ["turn", "speaker", "has_text", "has_content", "uses", "results"]
+    rows = cut(once(src, ["session_id", "line_index"], ["name", "parent", *kept], chunk_lines))
+    order = _released(_nodes(rows.select("session_id", "chunk", "line_index", F.lit(0).cast("long").alias("time"), "name", "parent", "turn")))
+    astray = order.where(F.col("turn") & (F.col("parent_missing") | F.col("cyclic"))).select("session_id")
+    return _defects(rows.where("turn"), rows.select("session_id"), astray)
 
 
-def defects_of(turns: DataFrame, lines: DataFrame) -> DataFrame:
-    """The defects of the sessions of `lines`, given their conversation_turns."""
-    sessions = lines.where(F.col("session_id").isNotNull() & F.col("line_index").isNotNull()).select("session_id").distinct()
+def _defects(turns: DataFrame, sessions: DataFrame, astray: DataFrame) -> DataFrame:
+    """The defects of sessions, given their turns and those with turns astray in the reply graph."""
     filled = turns.where("has_content").select("session_id").distinct()
-    empty = sessions.join(filled, "session_id", "left_anti")
+    empty = sessions.distinct().join(filled, "session_id", "left_anti")
     use = F.transform("uses", lambda i: F.struct(i.alias("id"), F.lit(True).alias("use")))
     result = F.transform("results", lambda i: F.struct(i.alias("id"), F.lit(False).alias("use")))
     tools = turns.select("session_id", "line_index", F.explode(F.concat(use, result)).alias("t"))
@@ -198,7 +204,6 @@ def defects_of(turns: DataFrame, lines: DataFrame) -> DataFrame:
     )
     matched = (F.col("last_result") > F.col("last_use")) & (F.col("first_use") < F.col("first_result"))
     lost = tools.where(F.col("id").isNull() | ~F.coalesce(matched, F.lit(False))).select("session_id")
-    astray = turns.where(F.col("parent_missing") | F.col("cyclic")).select("session_id")
     broken = lost.unionByName(astray).distinct()
     parts = (("empty", empty), ("no_reply", _no_reply(turns)), ("broken", broken))
     out = None
@@ -209,11 +214,15 @@ def defects_of(turns: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def conversations(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """The turns of the sessions without defect, as rows ordered by (session_id, key).
+    """The turns of the sessions without defect, sorted by (session_id, key), Kahn's order by time.
 
     Columns: session_id, key, line_index, speaker, text, uses, results. Neighbouring turns of one
     speaker stay separate rows, so a conversation is never gathered into one cell.
     """
     turns = cut(conversation_turns(lines, chunk_lines))
-    sound = turns.join(defects_of(turns, lines).select("session_id").distinct(), "session_id", "left_anti")
-    return sound.where("has_content").select("session_id", "key", "line_index", "speaker", "text", "uses", "results")
+    order = cut(reply_order(lines, chunk_lines))
+    at = turns.select("session_id", "line_index")
+    astray = order.where(F.col("parent_missing") | F.col("cyclic")).join(at, ["session_id", "line_index"], "left_semi").select("session_id")
+    unsound = _defects(turns, order.select("session_id"), astray).select("session_id").distinct()
+    sound = turns.where("has_content").join(unsound, "session_id", "left_anti").join(order.select("session_id", "line_index", "key"), ["session_id", "line_index"])
+    return sound.select("session_id", "key", "line_index", "speaker", "text", "uses", "results").orderBy("session_id", "key")

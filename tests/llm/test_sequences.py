@@ -55,27 +55,49 @@ def test_sound_conversations(messages):
     assert conversations.conversations(messages([])).count() == 0 and defects(messages([])) == set()
 
 
-def test_kahn_order_with_late_parents_and_cycles(spark):
+def kahn(parent, time):
+    """Order and leftovers of one session by a heap: free lines by what they waited for, their depth, their own time and number."""
+    own = [(t, i) for i, t in enumerate(time)]
+    free, order = [(own[i], 0, own[i], i) for i in range(len(parent)) if parent[i] is None], []
+    heapq.heapify(free)
+    while free:
+        peak, depth, _, i = heapq.heappop(free)
+        order.append(i)
+        for child in range(len(parent)):
+            if parent[child] == i:
+                heapq.heappush(free, (max(peak, own[child]), depth + 1, own[child], child))
+    return order, sorted(set(range(len(parent))) - set(order))
+
+
+@pytest.mark.parametrize("chunk", [5, 1, 4096])
+def test_kahn_order_with_late_parents_cycles_and_times(spark, chunk):
+    import datetime as dt
+
     random.seed(11)
     data, want = [], {}
     for s in range(25):
         n = random.randint(1, 25)
         parent = [None if random.random() < 0.25 else random.randrange(n) for _ in range(n)]
-        free, order = [i for i in range(n) if parent[i] is None], []
-        heapq.heapify(free)
-        while free:
-            order.append(heapq.heappop(free))
-            for child in range(n):
-                if parent[child] == order[-1]:
-                    heapq.heappush(free, child)
-        want[f"s{s}"] = (order, sorted(set(range(n)) - set(order)))
-        data += [(f"s{s}", i, f"u{i}", None if p is None else f"u{p}") for i, p in enumerate(parent)]
+        time = [random.choice([1, 1, 2, 3, 9, None]) if s % 2 else 5 for _ in range(n)]
+        filled = [next((t for t in reversed(time[: i + 1]) if t is not None), -1) for i in range(n)]
+        want[f"s{s}"] = kahn(parent, filled)
+        data += [(f"s{s}", i, f"u{i}", None if p is None else f"u{p}", None if time[i] is None else dt.datetime(2030, 1, 1, 0, 0, time[i])) for i, p in enumerate(parent)]
     got = {}
-    for r in conversations.reply_order(spark.createDataFrame(data, "session_id string, line_index long, uuid string, parent_uuid string"), 5).collect():
+    lines = spark.createDataFrame(data, "session_id string, line_index long, uuid string, parent_uuid string, ts timestamp_ntz")
+    for r in conversations.reply_order(lines, chunk).collect():
         got.setdefault(r.session_id, ([], []))[r.cyclic].append((r.key, r.line_index))
     assert {s: ([i for _, i in sorted(a)], sorted(i for _, i in b)) for s, (a, b) in got.items()} == want
 
 
+def test_long_reversed_chains_take_few_rounds(spark):
+    n = 200
+    lines = spark.createDataFrame([("s", i, f"u{i}", f"u{i + 1}" if i < n - 1 else None, None) for i in range(n)], "session_id string, line_index long, uuid string, parent_uuid string, ts timestamp_ntz")
+    status, before = spark.sparkContext.statusTracker(), max(spark.sparkContext.statusTracker().getJobIdsForGroup(None) or [0])
+    rows = conversations.reply_order(lines, 1).collect()
+    assert max(status.getJobIdsForGroup(None)) - before < 120
+    assert [r.line_index for r in sorted(rows, key=lambda r: r.key)] == list(range(n - 1, -1, -1)) and not any(r.cyclic for r in rows)
+
+
 @pytest.mark.parametrize("chunk", [4096, 4, 1])
 def test_runs(messages, chunk):
     random.seed(3)
