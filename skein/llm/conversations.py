@@ -15,6 +15,8 @@ one that had to wait follows what it waited for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,29 +25,46 @@ from skein.operators.lines import nearest, once
 from skein.session import CHUNK_LINES, cut
 
 
-def _kahn_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kahn's algorithm over one chunk: adds peak_time, peak_line, depth, above (an ancestor's line in another chunk) and cyclic."""
-    lines, times = pdf["line_index"].tolist(), pdf["time"].tolist()
-    parents = [None if pd.isna(p) else int(p) for p in pdf["parent_line"]]
-    inside = {line: i for i, line in enumerate(lines)}
+def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kahn's algorithm over whole chunks: adds peak_time, peak_line, depth, above (an ancestor's line in another chunk, if `leads`) and cyclic.
+
+    Chunks are independent of each other, so those of a batch are sorted in one go.
+    """
+    chunk = pd.factorize(pd.MultiIndex.from_arrays([pdf["session_id"], pdf["chunk"]]))[0].tolist()
+    lines, peak_time = pdf["line_index"].tolist(), pdf["time"].tolist()
+    up, answers = pdf["up"].tolist(), pdf["answers"].tolist()
+    inside = {place: i for i, place in enumerate(zip(chunk, lines))}
+    parents = [inside.get((c, u), -1) if a else -1 for c, u, a in zip(chunk, up, answers)]
     children: dict[int, list[int]] = {}
-    free = []
     for i, parent in enumerate(parents):
-        if parent in inside:
-            children.setdefault(inside[parent], []).append(i)
-        else:
-            free.append(i)
-    peaks, depths, above = list(zip(times, lines)), [0] * len(lines), [parents[i] if parents[i] not in inside else None for i in range(len(lines))]
+        if parent >= 0:
+            children.setdefault(parent, []).append(i)
+    peak_line, depth, above, leads = list(lines), [0] * len(lines), list(up), list(answers)
     cyclic = [True] * len(lines)
+    free = [i for i, parent in enumerate(parents) if parent < 0]
     for i in free:  # grows as lines become free
         cyclic[i] = False
         for child in children.get(i, ()):
-            peaks[child] = max(peaks[child], peaks[i])
-            depths[child], above[child] = depths[i] + 1, above[i]
+            if (peak_time[i], peak_line[i]) > (peak_time[child], peak_line[child]):
+                peak_time[child], peak_line[child] = peak_time[i], peak_line[i]
+            depth[child], above[child], leads[child] = depth[i] + 1, above[i], leads[i]
             free.append(child)
-    return pdf.assign(
-        peak_time=[t for t, _ in peaks], peak_line=[n for _, n in peaks], depth=depths, above=pd.array([None if c else a for a, c in zip(above, cyclic)], dtype="Int64"), cyclic=cyclic
-    )
+    return pdf.assign(peak_time=peak_time, peak_line=peak_line, depth=depth, above=above, leads=[x and not c for x, c in zip(leads, cyclic)], cyclic=cyclic)
+
+
+def _kahn_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by session and chunk: chunks are whole but for the last of a batch, which is kept for the next."""
+    held = None
+    for pdf in batches:
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        last = (rows["session_id"] == rows["session_id"].iloc[-1]) & (rows["chunk"] == rows["chunk"].iloc[-1]) if len(rows) else None
+        if last is None or last.all():
+            held = rows
+            continue
+        yield _kahn(rows[~last])
+        held = rows[last]
+    if held is not None and len(held):
+        yield _kahn(held)
 
 
 def _doubled(portals: DataFrame) -> DataFrame:
@@ -66,8 +85,11 @@ def _doubled(portals: DataFrame) -> DataFrame:
 
 def _released(nodes: DataFrame) -> DataFrame:
     """Adds `key` and `cyclic` to nodes(session_id, chunk, line_index, time, parent_line, ...)."""
-    schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", peak_time bigint, peak_line bigint, depth bigint, above bigint, cyclic boolean"
-    done = cut(nodes.groupBy("session_id", "chunk").applyInPandas(_kahn_block, schema)).withColumn("peak", F.struct("peak_time", "peak_line"))
+    rows = nodes.withColumn("up", F.coalesce("parent_line", F.lit(0))).withColumn("answers", F.col("parent_line").isNotNull()).drop("parent_line")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", peak_time bigint, peak_line bigint, depth bigint, above bigint, leads boolean, cyclic boolean"
+    sorted_ = rows.repartition("session_id", "chunk").sortWithinPartitions("session_id", "chunk")
+    done = cut(sorted_.mapInPandas(_kahn_batches, schema)).withColumn("peak", F.struct("peak_time", "peak_line"))
+    done = done.withColumn("above", F.when(F.col("leads"), F.col("above"))).withColumn("parent_line", F.when(F.col("answers"), F.col("up")))
     wanted = done.where("above is not null").select("session_id", F.col("above").alias("line_index")).distinct()
     most = done.groupBy("session_id").agg(F.count(F.lit(1)).alias("most"))
     portals = cut(done.join(wanted, ["session_id", "line_index"]).join(most, "session_id").select("session_id", "line_index", "peak", "depth", "above", "cyclic", "most"))
