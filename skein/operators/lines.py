@@ -67,3 +67,22 @@ def positioned(df: DataFrame) -> DataFrame:
     sizes = sizes.select(*CHUNK_KEY, F.coalesce(F.sum("_n").over(chunks), F.lit(0)).alias("_before"))
     out = df.withColumn("_at", F.row_number().over(inside)).join(sizes, CHUNK_KEY)
     return out.withColumn("pos", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_at", "_before")
+
+
+def numbered(df: DataFrame, keys: list[str], part: Column, order: list[str], name: str = "no") -> DataFrame:
+    """Adds `name`, the row's place from 0 among those of its keys, ordered by `part` (its chunk, not null) and then by `order`.
+
+    Rows are numbered within their part; what earlier parts have is added. The order of parts must
+    agree with that of the rows.
+    """
+    rows = df.withColumn("_part", part)
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.withColumn("_at", F.row_number().over(within)).join(sizes, [*keys, "_part"])
+    return out.withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_part", "_at", "_before")
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once: filters on it stay above, where it has its value."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

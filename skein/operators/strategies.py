@@ -9,12 +9,13 @@ makes the line smaller. Null types count as 'unknown'; rows without blocks give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import ends_of, preview, text_of, truthy
-from skein.operators.lines import nearest, positioned
+from skein.operators.lines import CHUNK_KEY, nearest, positioned, settled
 from skein.operators.model import BLOCK, list_size, with_block
+from skein.session import cut
 
 #: Name put into the markers that rewriting leaves behind.
 MARKER = "skein"
@@ -54,7 +55,7 @@ def _resized(blocks: Column) -> Column:
     return F.col("canonical_size") - F.col("content_size") + list_size(blocks)
 
 
-def _rows(lines: DataFrame, *columns: str) -> DataFrame:
+def _rows(lines: DataFrame, *columns: str | Column) -> DataFrame:
     return lines.select("session_id", "chunk", "line_index", "byte_size", *columns)
 
 
@@ -115,42 +116,46 @@ def thinking_blocks(lines: DataFrame, config: dict) -> DataFrame:
     else:
         new = F.transform(F.filter("blocks", lambda b: ~thinks(b)), unsigned)
         changed = F.exists("blocks", lambda b: thinks(b) | signed(b))
-    rows = rows.where(changed).withColumn("_new", new)
+    rows = settled(rows.where(changed), "_new", new)
     return _replaced(rows, _resized(F.col("_new")), F.lit(f"thinking-blocks ({mode})"), F.col("_new"))
 
 
 def tool_output_trim(lines: DataFrame, config: dict) -> DataFrame:
     """Shortens tool results that have too many lines or bytes to their two ends."""
     most_bytes, most_lines = config.get("tool_output_max_bytes", 8192), config.get("tool_output_max_lines", 100)
-    trim = F.transform("blocks", lambda b: trimmed_output(b, most_bytes, most_lines))
     result = lambda b: b["type"] == "tool_result"
-    long = lambda b: result(b) & ((F.octet_length(b["content_str"]) > most_bytes) | (F.size(F.split(b["content_str"], "\n")) > most_lines))
+    # more line ends than allowed: counted without cutting the text up
+    long = lambda b: result(b) & ((F.octet_length(b["content_str"]) > most_bytes) | (F.length(b["content_str"]) - F.length(F.replace(b["content_str"], F.lit("\n"), F.lit(""))) >= most_lines))
     listed = lambda b: result(b) & b["content_list"].isNotNull() & (F.octet_length(F.to_json(b["content_list"])) > most_bytes)
-    rows = lines.where(F.exists("blocks", lambda b: truthy(long(b)) | truthy(listed(b)))).withColumn("_new", trim)
+    rows = lines.where(F.exists("blocks", lambda b: truthy(long(b)) | truthy(listed(b))))
+    rows = settled(rows, "_new", trimmed_outputs(F.col("blocks"), most_bytes, most_lines))
     return _replaced(rows, _resized(F.col("_new")), F.lit("tool-output-trim"), F.col("_new"))
 
 
-def trimmed_output(b: Column, most_bytes: int, most_lines: int) -> Column:
-    """A tool result within the limits; other blocks as they are."""
-    text = b["content_str"]
-    parts = F.split(text, "\n")
-    count, keep = F.size(parts), most_lines // 2
-    tail = F.slice(parts, -keep, keep) if keep else parts
-    cut = F.concat(F.lit("\n... ["), (count - most_lines).cast("string"), F.lit(f" lines trimmed by {MARKER}] ...\n"))
-    by_lines = F.array_join(F.concat(F.slice(parts, 1, keep), F.array(cut), tail), "\n")
-    size = F.octet_length(text)
-    mark = F.concat(F.lit("\n... ["), (size - most_bytes).cast("string"), F.lit(f" bytes trimmed by {MARKER}] ...\n"))
-    new = F.when(count > most_lines, by_lines).when(size > most_bytes, ends_of(text, most_bytes // 2, mark))
-    nested = F.transform(
-        b["content_list"],
-        lambda x: F.when(
-            (x["type"] == "text") & (F.octet_length(x["text"]) > most_bytes),
-            F.struct(x["type"].alias("type"), ends_of(x["text"], most_bytes // 2, F.lit(f"\n...[trimmed by {MARKER}]...\n")).alias("text")),
-        ).otherwise(x),
-    )
-    result = b["type"] == "tool_result"
-    too_long = b["content_list"].isNotNull() & (F.octet_length(F.to_json(b["content_list"])) > most_bytes)
-    return F.when(truthy(result & new.isNotNull()), with_block(b, content_str=new)).when(truthy(result & too_long), with_block(b, content_list=nested)).otherwise(b)
+def trimmed_outputs(blocks: Column, most_bytes: int, most_lines: int) -> Column:
+    """Tool results within the limits; other blocks as they are.
+
+    Each step goes through an array of its own, so that a text is cut up once and a size taken once.
+    """
+    keep = most_lines // 2
+    cut_up = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.when(b["type"] == "tool_result", F.split(b["content_str"], "\n")).alias("parts"), F.octet_length(b["content_str"]).alias("size")))
+
+    def ends(x: Column) -> Column:
+        count, text = F.size(x["parts"]), x["b"]["content_str"]
+        tail = F.slice(x["parts"], -keep, keep) if keep else x["parts"]
+        gap = F.concat(F.lit("\n... ["), (count - most_lines).cast("string"), F.lit(f" lines trimmed by {MARKER}] ...\n"))
+        mark = F.concat(F.lit("\n... ["), (x["size"] - most_bytes).cast("string"), F.lit(f" bytes trimmed by {MARKER}] ...\n"))
+        by_lines = F.array_join(F.concat(F.slice(x["parts"], 1, keep), F.array(gap), tail), "\n")
+        text = F.when(x["parts"].isNull(), F.lit(None)).when(count > most_lines, by_lines).when(x["size"] > most_bytes, ends_of(text, most_bytes // 2, mark))
+        too_long = (x["b"]["type"] == "tool_result") & x["b"]["content_list"].isNotNull() & (F.octet_length(F.to_json(x["b"]["content_list"])) > most_bytes)
+        return F.struct(x["b"].alias("b"), text.alias("text"), truthy(too_long).alias("nested"))
+
+    short = lambda t: F.when(
+        (t["type"] == "text") & (F.octet_length(t["text"]) > most_bytes),
+        F.struct(t["type"].alias("type"), ends_of(t["text"], most_bytes // 2, F.lit(f"\n...[trimmed by {MARKER}]...\n")).alias("text")),
+    ).otherwise(t)
+    renew = lambda x: F.when(x["text"].isNotNull(), with_block(x["b"], content_str=x["text"])).when(x["nested"], with_block(x["b"], content_list=F.transform(x["b"]["content_list"], short))).otherwise(x["b"])
+    return F.transform(F.transform(cut_up, ends), renew)
 
 
 def file_events(lines: DataFrame) -> DataFrame:
@@ -192,12 +197,12 @@ def stale_reads(lines: DataFrame, config: dict) -> DataFrame:
     """
     stale = stale_reads_of(lines).withColumnRenamed("line_index", "read_line")
     hits = read_results(lines).where(F.length("content_str") > 500).join(stale, ["session_id", "read_line"], "left_semi")
-    order = F.col("read_pos") * 1_000_000 + F.col("read_block") * 1000 + F.col("block_no")
+    order = F.row_number().over(Window.partitionBy(*KEY).orderBy("read_pos", "read_block", "block_no"))  # among the few of one line
     rows = lines.join(hits.select(*KEY, "id", order.alias("_ord")), KEY)
     first = F.array_position(F.transform("blocks", lambda b: truthy((b["type"] == "tool_result") & (b["tool_use_id"] == F.col("id")))), F.lit(True)) - 1
     note = F.lit(f"[stale read - file was later edited, trimmed by {MARKER}]")
     new = F.transform("blocks", lambda b, i: F.when(i == first, with_block(b, content_str=note)).otherwise(b))
-    rows = rows.withColumn("_new", new)
+    rows = settled(rows, "_new", new)
     return _replaced(rows, _resized(F.col("_new")), F.lit("stale-read (file later edited)"), F.col("_new"), order=F.col("_ord"))
 
 
@@ -235,20 +240,26 @@ def reminder_dedup(lines: DataFrame, config: dict) -> DataFrame:
         new = F.when(b["type"] == "text", with_block(b, text=text)).when(b["content_str"].isNotNull(), with_block(b, content_str=text)).otherwise(b)
         return F.when((F.size(mine) > 0) & (i >= since), new).otherwise(b)
 
-    rows = rows.withColumn("_new", F.transform("blocks", tidy))
+    rows = settled(rows, "_new", F.transform("blocks", tidy))
     return _replaced(rows, _resized(F.col("_new")), F.lit("system-reminder-dedup"), F.col("_new"))
 
 
 def _inside_runs(rows: DataFrame, least: int) -> DataFrame:
     """Rows strictly inside runs of at least `least`: a run begins at a row that `opens` and goes on while rows `belong`.
 
-    `rows` has session_id, chunk, line_index, pos, opens, belongs; whatever opens also belongs.
+    `rows` has session_id, chunk, line_index, opens, belongs; whatever opens also belongs. A run is
+    known by the last row before it that doesn't belong. Its rows are counted by chunk.
     """
-    before = nearest(rows, {"gap": F.when(~F.col("belongs"), F.col("pos"))}, ["line_index"]).where("belongs")
-    before = before.withColumn("gap", F.coalesce("gap", F.lit(-1).cast("long")))
-    runs = before.groupBy("session_id", "gap").agg(F.min(F.when(F.col("opens"), F.col("pos"))).alias("start"), F.max("pos").alias("stop"))
-    runs = runs.where(F.col("stop") - F.col("start") + 1 >= least)
-    return before.join(runs, ["session_id", "gap"]).where((F.col("pos") > F.col("start")) & (F.col("pos") < F.col("stop")))
+    before = nearest(rows, {"gap": F.when(~F.col("belongs"), F.col("line_index"))}, ["line_index"]).where("belongs")
+    before = before.withColumn("at", F.row_number().over(Window.partitionBy(*CHUNK_KEY).orderBy("line_index")))
+    before = cut(before.withColumn("gap", F.coalesce("gap", F.lit(-1).cast("long"))))
+    parts = before.groupBy("session_id", "gap", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("opens"), F.struct("line_index", "at"))).alias("open"), F.max("line_index").alias("stop"), F.max("at").alias("last")
+    )
+    runs = parts.groupBy("session_id", "gap").agg(F.min_by(F.struct("chunk", "open", "last"), F.when(F.col("open").isNotNull(), F.col("chunk"))).alias("o"), F.max("stop").alias("stop"), F.collect_list(F.struct("chunk", "n")).alias("parts"))
+    later = F.aggregate(F.filter("parts", lambda p: p["chunk"] > F.col("o.chunk")), F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    runs = runs.where(later + F.col("o.last") - F.col("o.open.at") + 1 >= least).select("session_id", "gap", F.col("o.open.line_index").alias("start"), "stop")
+    return before.join(runs, ["session_id", "gap"]).where((F.col("line_index") > F.col("start")) & (F.col("line_index") < F.col("stop")))
 
 
 def http_spam(lines: DataFrame, config: dict) -> DataFrame:
@@ -256,11 +267,11 @@ def http_spam(lines: DataFrame, config: dict) -> DataFrame:
     calls = F.exists("blocks", lambda b: _used(b, HTTP_TOOLS))
     tools = F.exists("blocks", lambda b: truthy(b["type"].isin("tool_use", "tool_result")))
     named = F.exists("blocks", lambda b: truthy(b["type"].isin("tool_use", "tool_result")) & truthy(b["name"].isin(HTTP_TOOLS)))
-    rows = positioned(_rows(lines, "type", calls.alias("opens"), tools.alias("tools"), named.alias("named")))
-    rows = nearest(rows, {"prev": F.struct("opens")}, ["line_index"])
-    belongs = (F.col("type") == "progress") | F.col("named") | (F.col("tools") & truthy(F.col("prev.opens")))
-    inside = _inside_runs(rows.withColumn("belongs", belongs | F.col("opens")), 4)
-    return _removed(inside.where(F.col("type") == "progress"), "http-spam")
+    # flags only, written once: each look at neighbours reads them twice
+    rows = cut(_rows(lines, (F.col("type") == "progress").alias("progress"), calls.alias("opens"), tools.alias("tools"), named.alias("named")))
+    belongs = F.col("progress") | F.col("named") | (F.col("tools") & truthy(F.col("prev.opens"))) | F.col("opens")
+    rows = cut(nearest(rows, {"prev": F.struct("opens")}, ["line_index"]).select("session_id", "chunk", "line_index", "byte_size", "progress", "opens", belongs.alias("belongs")))
+    return _removed(_inside_runs(rows, 4).where("progress"), "http-spam")
 
 
 def sorted_json(text: Column) -> Column:
@@ -278,13 +289,14 @@ def error_retry_collapse(lines: DataFrame, config: dict) -> DataFrame:
     )
     order = ["line_index", "block_no"]
     me = F.struct("line_index", "byte_size", "err", "call")
-    events = nearest(events, {"n1": me}, order, after=True)
+    # narrow rows, written between the looks at neighbours, each of which reads them twice
+    events = cut(nearest(cut(events), {"n1": me}, order, after=True))
     events = nearest(events, {"n2": F.struct("n1")}, order, after=True)
     n2 = F.col("n2.n1")
     link = truthy(~F.col("err") & F.col("n1.err") & ~n2["err"] & (n2["call"] == F.col("call")))
     events = events.select(*[c for c in events.columns if c not in ("n1", "n2")], link.alias("link"))
     # what stands between is looked up before errors are left out
-    events = nearest(events, {"p1": F.struct("line_index", "byte_size"), "prev_link": F.when(~F.col("err"), F.col("link"))}, order)
+    events = nearest(cut(events), {"p1": F.struct("line_index", "byte_size"), "prev_link": F.when(~F.col("err"), F.col("link"))}, order)
     middle = events.where(~F.col("err") & F.col("link") & truthy(F.col("prev_link")))
     lines_of = middle.select("session_id", "line_index", "byte_size").unionByName(middle.select("session_id", F.col("p1.line_index").alias("line_index"), F.col("p1.byte_size").alias("byte_size")))
     return _removed(lines_of, "error-retry-collapse")
@@ -293,20 +305,20 @@ def error_retry_collapse(lines: DataFrame, config: dict) -> DataFrame:
 def background_poll_collapse(lines: DataFrame, config: dict) -> DataFrame:
     """Of runs of queue polls the last stays; of runs of unblocked task polls the two ends."""
     poll = truthy((F.col("type") == "queue-operation") & F.col("operation").isin("check", "poll"))
-    rows = nearest(_rows(lines, poll.alias("poll")), {"next": F.struct("poll")}, ["line_index"], after=True)
-    queue = _removed(rows.where(F.col("poll") & truthy(F.col("next.poll"))), "queue-poll")
     unblocked = lambda b: _used(b, POLL_TOOLS) & truthy(F.get_json_object(b["input"], "$.block") == "false") & ~truthy(b["input"].rlike(r'"block"\s*:\s*"'))
-    rows = positioned(_rows(lines, F.exists("blocks", unblocked).alias("opens"), (F.col("type") == "progress").alias("progress")))
-    inside = _inside_runs(rows.withColumn("belongs", F.col("opens") | F.col("progress")), 3)
+    opens = F.exists("blocks", unblocked)
+    rows = cut(_rows(lines, poll.alias("poll"), opens.alias("opens"), (opens | (F.col("type") == "progress")).alias("belongs")))
+    near = nearest(rows, {"next": F.struct("poll")}, ["line_index"], after=True)
+    queue = _removed(near.where(F.col("poll") & truthy(F.col("next.poll"))), "queue-poll")
+    inside = _inside_runs(rows.drop("poll"), 3)
     return queue.unionByName(_removed(inside, "task-poll"))
 
 
 def document_copies(lines: DataFrame, least: int = 1024) -> DataFrame:
-    """Large blocks with their text: session_id, line_index, block_no, bytes, hash, first, again."""
+    """Large blocks with their text's hash: session_id, line_index, block_no, bytes, hash, first, again."""
     blocks = lines.where(F.col("canonical_size") >= least).select(*KEY, F.posexplode("blocks").alias("block_no", "b"))
-    text = text_of(F.col("b"))
-    blocks = blocks.where(F.octet_length(text) >= least)
-    blocks = blocks.select(*KEY, "block_no", F.octet_length(text).cast("long").alias("bytes"), F.md5(text).alias("hash"), F.struct("line_index", "block_no").alias("at"))
+    blocks = settled(blocks, "text", text_of(F.col("b"))).where(F.octet_length("text") >= least)
+    blocks = cut(blocks.select(*KEY, "block_no", F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("hash"), F.struct("line_index", "block_no").alias("at")))
     first = blocks.groupBy("session_id", "hash").agg(F.min("at").alias("first"))
     return blocks.join(first, ["session_id", "hash"]).withColumn("again", F.col("at") != F.col("first"))
 
@@ -325,12 +337,10 @@ def document_dedup(lines: DataFrame, config: dict) -> DataFrame:
         new = F.when(b["type"] == "text", plain).when((b["type"] == "tool_result") & ~null("content_str"), with_block(b, content_str=short)).otherwise(b)
         return F.when(i == F.col("block_no"), new).otherwise(b)
 
-    rows = rows.withColumn("_new", F.transform("blocks", noted))
     reason = F.concat(F.lit("document-dedup ("), F.col("bytes").cast("string"), F.lit(" bytes, hash="), F.substring("hash", 1, 8), F.lit(")"))
-    rows = rows.withColumn("_size", _resized(F.col("_new"))).where("byte_size > _size")
-    best = rows.groupBy(*KEY).agg(F.min(F.struct("first", "block_no")).alias("best"))
-    rows = rows.join(best, KEY).where(F.col("best.block_no") == F.col("block_no"))
-    return _replaced(rows, F.col("_size"), reason, F.col("_new"))
+    rows = settled(rows, "_new", F.transform("blocks", noted)).withColumn("_size", _resized(F.col("_new"))).where("byte_size > _size")
+    best = rows.groupBy(*KEY).agg(F.min_by(F.struct("byte_size", "envelope", "inner", "_new", "_size", reason.alias("_reason")), F.struct("first", "block_no")).alias("r")).select(*KEY, "r.*")
+    return _replaced(best, F.col("_size"), F.col("_reason"), F.col("_new"))
 
 
 def mega_trimmed(b: Column, most: int) -> Column:
@@ -349,7 +359,7 @@ def mega_block_trim(lines: DataFrame, config: dict) -> DataFrame:
     most = config.get("mega_block_max_bytes", 32768)
     rows = lines.where(~F.col("type").isin("summary", "queue-operation"))
     rows = rows.where(F.exists("blocks", lambda b: (b["size"] > most) & (F.octet_length(text_of(b)) > most)))
-    rows = rows.withColumn("_new", F.transform("blocks", lambda b: mega_trimmed(b, most)))
+    rows = settled(rows, "_new", F.transform("blocks", lambda b: mega_trimmed(b, most)))
     return _replaced(rows, _resized(F.col("_new")), F.lit("mega-block-trim"), F.col("_new"))
 
 

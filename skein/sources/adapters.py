@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.lines import chunk_of
+from skein.operators.lines import chunk_of, numbered
 from skein.operators.model import BLOCK, block_size, list_size
 
 FRAME_BYTES = 100
@@ -42,8 +42,9 @@ def documents_as(documents: DataFrame, kind: str, text: Column | None = None) ->
 
 def events_as_calls(events: DataFrame) -> DataFrame:
     """Events as lines of a session for each user, in order of time; an error is a failed result, all else a call."""
-    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    rows = events.select(F.col("user_id").cast("string").alias("session_id"), at.cast("long").alias("line_index"), "event_type", "event_id")
+    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))
+    rows = numbered(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], day, ["ts", "event_id"], "line_index")
+    rows = rows.select(F.col("user_id").cast("string").alias("session_id"), "line_index", "event_type", "event_id")
     error = F.col("event_type") == "error"
     call = _block(type=F.when(error, "tool_result").otherwise("tool_use"), name=F.when(~error, F.col("event_type")), input=F.when(~error, F.lit("{}")), is_error=F.when(error, F.lit(True)))
     return _line(rows, call, F.lit("assistant"))
