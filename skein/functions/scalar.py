@@ -60,26 +60,26 @@ def ends_of(text: Column, half: int, marker: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """B, KB with one decimal, MB with two; 1024 to the next."""
+    """B, KB with one decimal, MB with two; 1024 to the next; null stays null."""
     kb, mb = F.format_string("%.1fKB", n / 1024), F.format_string("%.2fMB", n / (1024 * 1024))
-    return F.when(n < 1024, F.format_string("%dB", n.cast("long"))).when(n < 1024 * 1024, kb).otherwise(mb)
+    return F.when(n < 1024, F.format_string("%dB", n.cast("long"))).when(n < 1024 * 1024, kb).when(n.isNotNull(), mb)
 
 
 def format_percent(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, F.lit("0%")).otherwise(F.format_string("%.1f%%", part / whole * 100))
+    return F.when(whole == 0, F.lit("0%")).when(part.isNotNull() & whole.isNotNull(), F.format_string("%.1f%%", part / whole * 100))
 
 
 def format_tokens(n: Column) -> Column:
-    """Plain, K with one decimal, M with two; 1000 to the next."""
+    """Plain, K with one decimal, M with two; 1000 to the next; null stays null."""
     k, m = F.format_string("%.1fK", n / 1000), F.format_string("%.2fM", n / 1_000_000)
-    return F.when(n < 1000, n.cast("long").cast("string")).when(n < 1_000_000, k).otherwise(m)
+    return F.when(n < 1000, n.cast("long").cast("string")).when(n < 1_000_000, k).when(n.isNotNull(), m)
 
 
 def format_bar(percent: Column, width: int = 20) -> Column:
     """A bar of `width` places that `percent` fills, and the whole percents."""
     filled = F.least(F.greatest(F.round(percent / 100 * width).cast("int"), F.lit(0)), F.lit(width))
     bar = F.concat(F.repeat(F.lit("="), filled), F.repeat(F.lit("-"), F.lit(width) - filled))
-    return F.format_string("[%s] %s%%", bar, F.round(percent).cast("long").cast("string"))
+    return F.when(percent.isNotNull(), F.format_string("[%s] %s%%", bar, F.round(percent).cast("long").cast("string")))
 
 
 def truncate(text: Column, most: int = 70) -> Column:
@@ -94,3 +94,16 @@ def slug_of(path: Column) -> Column:
 def path_of(slug: Column) -> Column:
     """The directory a project name stands for; names with '-' come back with '/'."""
     return F.replace(slug, F.lit("-"), F.lit("/"))
+
+
+def prune_text(tokens_before: Column, tokens_after: Column, saved_bytes: Column) -> Column:
+    """What a prune freed in one phrase, tokens first if they are known and not 0."""
+    freed, mb = tokens_before - tokens_after, F.format_string("%.1fMB saved", saved_bytes / (1024 * 1024))
+    short = F.when(freed >= 1000, F.format_string("%.1fK", freed / 1000)).otherwise(freed.cast("long").cast("string"))
+    known = (F.coalesce(tokens_before, F.lit(0)) != 0) & (F.coalesce(tokens_after, F.lit(0)) != 0)
+    return F.when(known, F.concat(short, F.lit(" tokens freed ("), format_percent(freed, tokens_before), F.lit("), "), mb)).otherwise(mb)
+
+
+def clock(at: Column) -> Column:
+    """A time as hours, minutes and seconds."""
+    return F.date_format(at, "HH:mm:ss")

@@ -23,6 +23,12 @@ def type_stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("messages"), F.sum("byte_size").cast("long").alias("bytes"))
 
 
+def ranked_types(stats: DataFrame) -> DataFrame:
+    """The types of each session, those with most bytes first: session_id, rank, type, messages, bytes; ties by name."""
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("bytes"), "type"))
+    return stats.select("session_id", rank.alias("rank"), "type", "messages", "bytes")
+
+
 def largest(lines: DataFrame, top: int = 10) -> DataFrame:
     """The largest lines of each session: session_id, rank, line_index, type, byte_size.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import truthy
-from skein.operators.lines import CHUNK_KEY
+from skein.operators.lines import CHUNK_KEY, chunk_of, numbered
 
 # Tools, words and forms that mark team lines.
 TEAM_TOOLS = [
@@ -78,11 +78,12 @@ def merge_tasks(events: DataFrame, keys: list[str]) -> DataFrame:
 def tasks(lines: DataFrame) -> DataFrame:
     """The shared tasks of each session: session_id, task_id, subject, status, owner, description.
 
-    A call without a task id describes the task of that call alone, named after the call.
+    A task that is created without an id is a task of its own, named after the call; updates without
+    an id share the task with the empty one.
     """
     calls = _calls(lines).where(F.col("name").isin("TaskCreate", "TaskUpdate"))
     events = calls.select(
-        "session_id", F.coalesce(_field("taskId", "id"), "id", F.lit("")).alias("task_id"), "at", (F.col("name") == "TaskCreate").alias("created"),
+        "session_id", F.coalesce(_field("taskId", "id"), F.when(F.col("name") == "TaskCreate", F.col("id")), F.lit("")).alias("task_id"), "at", (F.col("name") == "TaskCreate").alias("created"),
         F.when(F.col("name") == "TaskCreate", _field("subject", "title")).otherwise(_field("subject")).alias("subject"),
         _field("status").alias("status"), _field("owner").alias("owner"), _field("description").alias("description"),
     )
@@ -112,6 +113,14 @@ def notifications(lines: DataFrame) -> DataFrame:
     )
 
 
+def _numbered_agents(task: DataFrame) -> DataFrame:
+    """Calls that name no agent and have no id get the key task-N, N being how many agents the session knows before them."""
+    firsts = task.where("key is not null").groupBy("session_id", "key").agg(F.min("at").alias("at"))
+    known = firsts.unionByName(task.where("key is null").select("session_id", "key", "at"))
+    known = numbered(known, ["session_id"], chunk_of(F.col("at.line_index")), ["at"]).where("key is null").select("session_id", "at", F.concat(F.lit("task-"), "no").alias("given"))
+    return task.join(known, ["session_id", "at"], "left").withColumn("key", F.coalesce("key", "given")).drop("given")
+
+
 def subagents(lines: DataFrame) -> DataFrame:
     """Spawned agents: session_id, agent_id, subagent_type, description, status, result.
 
@@ -125,7 +134,8 @@ def subagents(lines: DataFrame) -> DataFrame:
         "session_id", "at", "id", F.coalesce(F.nullif(_field("resume"), F.lit("")), "id").alias("key"), F.coalesce(_field("subagent_type"), F.lit("")).alias("subagent_type"),
         F.coalesce(F.nullif(_field("description"), F.lit("")), F.substring(_field("prompt"), 1, 80), F.lit("")).alias("description"),
     )
-    last = task.where("key is not null").groupBy("session_id", "key").agg(F.max_by(F.struct("at", "subagent_type", "description"), "at").alias("t"))
+    task = _numbered_agents(task)
+    last = task.groupBy("session_id", "key").agg(F.max_by(F.struct("at", "subagent_type", "description"), "at").alias("t"))
     last = last.select("session_id", "key", F.col("t.at").alias("called"), "t.subagent_type", "t.description")
     nested = F.array_join(F.transform(F.filter("b.content_list", lambda x: x["type"] == "text"), lambda x: x["text"]), "")
     results = team_lines(lines).where(F.col("type") != "queue-operation").select("session_id", "line_index", F.posexplode("blocks").alias("block_no", "b")).where(F.col("b.type") == "tool_result")

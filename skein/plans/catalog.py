@@ -51,6 +51,18 @@ def _tagged():
     return F.regexp_replace("text", r"(\([^()]*\))", "<system-reminder>$1</system-reminder>")
 
 
+def _signed(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.documents_as(table(spark, folder, "documents"), "thinking", signed=40)
+
+
+def _file_events(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.events_as_files(table(spark, folder, "events"))
+
+
+def _call_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.calls_as_lines(table(spark, folder, "team_calls"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     tune(spark)
     values = drift.field_values(table(spark, folder, "team_calls"))
@@ -159,6 +171,33 @@ def model_window_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select("p_partkey", tokens.window_of(F.col("p_type"), windows, 9).alias("window"))
 
 
+def model_windows(spark: SparkSession, folder: str) -> DataFrame:
+    models = table(spark, folder, "messages").select("model").where("model is not null").distinct()
+    return models.select("model", tokens.window_of(F.col("model")).alias("window"))
+
+
+def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    noisy = F.concat(F.lit("<system-reminder>"), F.substring("text", 1, 9), F.lit("\n</system-reminder># **"), F.substring("text", 1, 30), F.lit("** <b>out</b> [Request interrupted by user] <br/>"), F.col("text"))
+    return docs.select("doc_id", recap.clean(noisy).alias("text"))
+
+
+def team_state(spark: SparkSession, folder: str) -> DataFrame:
+    state = team.team_state(_call_lines(spark, folder))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
+    return state.select("session_id", "team_name", count("teammates"), count("tasks"), "messages", "last_line")
+
+
+def types_by_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return diagnosis.ranked_types(diagnosis.type_stats(_lines(spark, folder)))
+
+
+def health_checks(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    backup = F.when(F.col("session_id").startswith("b"), F.concat("path", F.lit(".bak"))).otherwise(F.col("path"))
+    return diagnosis.health(files.withColumn("path", backup), 5, (50, 200), 10)
+
+
 def topic_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return recap.topics(recap.user_turns(_lines(spark, folder)))
 
@@ -212,7 +251,7 @@ def queries() -> dict[str, Query]:
     named = (
         p3_found, p3_unified, p6_found, p6_nodes, p6_schema, p6_tables, catalog_totals, newest_session, resolve_prefix, tail_match, tail_match_50, collapse_savings, apply_removals, prescription_gentle,
         prescription_report, team_protected_gentle, task_upsert, config_merge, model_window_lookup, topic_dedup, recent_topics, word_coverage, themes, breaker_window, guard_tiers,
-        overflow_sessions, formats, guard_stream,
+        overflow_sessions, formats, guard_stream, model_windows, clean_texts, team_state, types_by_bytes, health_checks,
     )
     events = lambda spark, folder: adapters.events_as_calls(table(spark, folder, "events"))
     sample = lambda f: lambda spark, folder: f(_files(spark, folder))
@@ -228,17 +267,18 @@ def queries() -> dict[str, Query]:
         "metadata_strip": _acted("metadata-strip", "pruned_bytes"),
         "thinking_remove": _acted("thinking-blocks", "size(new_blocks) as blocks_left", "pruned_bytes"),
         "thinking_truncate": _new_text("thinking-blocks", "thinking", {"thinking_mode": "truncate"}),
-        "thinking_signature_only": _acted("thinking-blocks", config={"thinking_mode": "signature-only"}),
+        "thinking_signature_only": _acted("thinking-blocks", "pruned_bytes", source=_signed, config={"thinking_mode": "signature-only"}),
+        "signature_stats": lambda spark, folder: diagnosis.block_stats(_signed(spark, folder)).select("session_id", "thinking_bytes", "signature_bytes"),
         "output_trim_bytes": _new_text("tool-output-trim", "tool_result", {"tool_output_max_bytes": 1024}),
         "output_trim_lines": _new_text("tool-output-trim", "tool_result", {"tool_output_max_lines": 10}),
         "mega_trim": _new_text("mega-block-trim", "text", {"mega_block_max_bytes": 2048}),
         "document_dedup": _new_text("document-dedup", "text", {"document_dedup_min_bytes": 300}),
         "file_events": _on_lines(strategies.file_events),
-        "stale_read_lines": _on_lines(strategies.stale_reads_of),
+        "stale_read_lines": lambda spark, folder: strategies.stale_reads_of(_file_events(spark, folder)),
         "read_results": _on_lines(lambda m: strategies.read_results(m).select("session_id", "read_line", "line_index", "id")),
-        "stale_reads": _acted("stale-reads", "pruned_bytes"),
+        "stale_reads": _acted("stale-reads", "pruned_bytes", source=_file_events),
         "reminder_copies": lambda spark, folder: strategies.reminder_copies(_documents("text", _tagged)(spark, folder)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("reminders"), F.count_if("again").alias("again")),
-        "reminder_dedup": _acted("system-reminder-dedup", "get(new_blocks, 0).text as text", source=_documents("text", _tagged)),
+        "reminder_dedup": _acted("system-reminder-dedup", "get(new_blocks, 0).text as text", "pruned_bytes", source=_documents("text", _tagged)),
         "http_runs": _acted("http-spam"),
         "error_retry": _acted("error-retry-collapse", source=events),
         "poll_runs": _acted("background-poll-collapse", "reason"),
@@ -248,15 +288,13 @@ def queries() -> dict[str, Query]:
         "token_breakdown": _on_lines(tokens.breakdown),
         "last_usage": _on_lines(tokens.last_usage),
         "last_model": _on_lines(tokens.last_model),
-        "token_estimate": _on_lines(lambda m: tokens.estimate(m).select("session_id", "total", "method", "model", "context_window")),
+        "token_estimate": _on_lines(tokens.estimate),
         "calibration": _on_lines(tokens.calibration),
         "tail_tokens": _on_lines(lambda m: tokens.tail_estimate(m, 5_000)),
         "tail_tokens_50k": _on_lines(tokens.tail_estimate),
         "team_filter": _on_lines(lambda m: team.team_lines(m).select(*KEY)),
-        "team_state": _on_lines(lambda m: team.team_state(m).select("session_id", "team_name", "messages", "last_line", "lead_summary")),
-        "subagents": _on_lines(team.subagents),
+        "subagents": lambda spark, folder: team.subagents(adapters.calls_as_agents(table(spark, folder, "team_calls"))),
         "recap": _on_lines(recap.recap),
-        "health_checks": sample(lambda f: diagnosis.health(f, 5, (50, 200), 10)),
         "oversized": sample(lambda f: diagnosis.oversized(f, 5)),
     }
 
