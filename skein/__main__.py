@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
@@ -11,7 +12,7 @@ from skein import api
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="skein")
-    parser.add_argument("command", choices=["list", "current", "diagnose", "tokens", "treat", "what-if", "strategy", "recap", "checkpoint", "doctor", "formulary", "guard"])
+    parser.add_argument("command", choices=["list", "current", "diagnose", "tokens", "treat", "what-if", "strategy", "recap", "checkpoint", "doctor", "formulary", "guard", "reload", "init", "resolve"])
     parser.add_argument("folder", nargs="?")
     parser.add_argument("--session")
     parser.add_argument("--project")
@@ -26,6 +27,10 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--state")
     parser.add_argument("--checkpoint")
     parser.add_argument("--hard-mb", type=float, default=50)
+    parser.add_argument("--danger-mb", type=float, default=90)
+    parser.add_argument("--settings", help="settings file, for doctor and init")
+    parser.add_argument("--fix", action="store_true")
+    parser.add_argument("--cwd")
     parser.add_argument("--rows", type=int, default=50)
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("skein").getOrCreate()
@@ -40,11 +45,15 @@ def main(arguments: list[str] | None = None) -> None:
         "strategy": lambda: api.run_strategy(spark, given.folder, given.name, given.session, config),
         "recap": lambda: api.recaps(spark, given.folder, given.session),
         "checkpoint": lambda: api.checkpoints(spark, given.folder, given.session, given.configs),
-        "doctor": lambda: api.doctor(spark, given.folder),
+        "doctor": lambda: api.doctor(spark, given.folder, given.settings, os.name == "nt", given.fix),
+        "reload": lambda: api.reload(spark, given.folder, given.session, given.write_to, given.rx, given.version),
+        "resolve": lambda: api.resolve(spark, given.folder, given.session or "current", given.cwd or os.getcwd()),
         "formulary": lambda: api.formulary(spark),
     }
     if given.command == "guard":
-        api.guard(spark, given.folder, given.state, given.checkpoint, given.hard_mb).awaitTermination()
+        api.guard(spark, given.folder, given.state, given.checkpoint, given.hard_mb, danger_mb=given.danger_mb, prescription=given.rx).awaitTermination()
+    elif given.command == "init":
+        print("\n".join(api.init(given.settings)) or "nothing to add")
     else:
         commands[given.command]().show(given.rows, truncate=False)
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.scalar import prune_text
 from skein.operators import diagnosis, executor, recap, team, tokens
 from skein.plans.prescriptions import PRESCRIPTIONS, STRATEGIES, recommend
 from skein.session import cut
-from skein.sources import catalog, jsonl
+from skein.sources import catalog, documents, jsonl
+from skein.sources.transcripts import listed, opened
 from skein.streaming import guard as streaming
 
 
@@ -38,6 +40,11 @@ def current_session(spark: SparkSession, folder: str, project: str | None = None
     return of_project if not of_project.isEmpty() else catalog.newest(files)
 
 
+def resolve(spark: SparkSession, folder: str, wanted: str, cwd: str | None = None) -> DataFrame:
+    """The session meant by a .jsonl path, an id, the beginning of one, or `current`: at most one row of the catalogue."""
+    return catalog.find(catalog.from_files(spark, folder), wanted, cwd)
+
+
 def diagnose(spark: SparkSession, folder: str, session: str | None = None) -> DataFrame:
     """Diagnostics of the sessions, one row each."""
     return diagnosis.diagnose(_lines(spark, folder, session))
@@ -62,7 +69,16 @@ def treat(
         jsonl.write_version(out, write_to, version)
     named = lambda df, end: diagnosis.totals(df).join(tokens.estimate(df).select("session_id", "total"), "session_id").toDF("session_id", f"messages_{end}", f"bytes_{end}", f"tokens_{end}")
     both = named(lines, "before").join(named(out, "after"), "session_id", "left").fillna(0)
-    return both.withColumn("saved_bytes", F.col("bytes_before") - F.col("bytes_after"))
+    both = both.withColumn("saved_bytes", F.col("bytes_before") - F.col("bytes_after"))
+    return both.withColumn("result", prune_text(F.col("tokens_before"), F.col("tokens_after"), F.col("saved_bytes")))
+
+
+def reload(spark: SparkSession, folder: str, session: str, target: str, prescription: str = "standard", version: str = "1") -> DataFrame:
+    """Prunes one session with its team spared, as a new version, and writes its team report beside it: what a resume goes on with."""
+    out = treat(spark, folder, prescription, session, protect_team=True, write_to=f"{target}/sessions", version=version)
+    reports = checkpoints(spark, folder, session)
+    write_texts(reports, "report", f"{target}/reports/version={version}")
+    return out
 
 
 def what_if(spark: SparkSession, folder: str, session: str | None = None) -> DataFrame:
@@ -101,9 +117,56 @@ def write_texts(texts: DataFrame, column: str, target: str) -> None:
     texts.select("session_id", F.col(column).alias("value")).write.mode("errorifexists").partitionBy("session_id").text(target)
 
 
-def doctor(spark: SparkSession, folder: str) -> DataFrame:
-    """Checks of the session store."""
-    return diagnosis.health(catalog.from_files(spark, folder))
+def doctor(spark: SparkSession, folder: str, settings: str | None = None, windows: bool = False, fix: bool = False) -> DataFrame:
+    """Checks of the session store and of a settings file: name, status, bytes, sessions, message.
+
+    With `fix`, the trust flag is reset (the file before is kept as .bak) and backups above their
+    limit are deleted; these checks then have the status `fixed`.
+    """
+    files = catalog.from_files(spark, folder)
+    checks = diagnosis.health(files.unionByName(catalog.backups(spark, folder)) if listed(folder, ".bak") else files).withColumn("message", F.lit(""))
+    trust = _trust(settings, windows, fix)
+    out = spark.createDataFrame([trust], checks.schema).unionByName(checks)
+    if fix and not checks.where("name = 'backups' and status <> 'ok'").isEmpty():
+        checked = out.collect()  # four rows, before what they tell of is deleted
+        system, _ = opened(folder)
+        gone = listed(folder, ".bak")
+        for file in gone:
+            system.delete_file(file.path)
+        note = f"deleted {len(gone)} backups, {sum(f.size for f in gone) / 1048576:.1f}MB"
+        out = spark.createDataFrame([r if r.name != "backups" else (r.name, "fixed", r.bytes, r.sessions, note) for r in checked], checks.schema)
+    return out
+
+
+def _trust(settings: str | None, windows: bool, fix: bool) -> tuple:
+    value = documents.read(settings) if settings else {}
+    if value is None:
+        return ("trust-dialog", "warning", 0, 0, f"{settings} can't be read")
+    places = documents.flagged(value)
+    if places and fix:
+        backup = documents.write(settings, documents.unflagged(value))
+        return ("trust-dialog", "fixed", 0, len(places), f"reset; before: {backup}")
+    return ("trust-dialog", "ok" if not places else "issue" if windows else "warning", 0, len(places), ", ".join(places))
+
+
+# The events of a session at which the guard starts and teams are checkpointed.
+HOOKS = {
+    event: [{"matcher": matcher, "hooks": [{"type": "command", "command": f"skein {what}"}]} for matcher in matchers]
+    for event, matchers, what in (
+        ("SessionStart", [""], "guard"), ("PostToolUse", ["Task", "TaskCreate|TaskUpdate"], "checkpoint"), ("PreCompact", [""], "checkpoint"), ("Stop", [""], "checkpoint"),
+    )
+}
+
+
+def init(settings: str) -> list[str]:
+    """Adds the hooks that a settings file lacks, the file before kept as .bak; gives what was added."""
+    value = documents.read(settings)
+    if value is None:
+        raise ValueError(f"{settings} can't be read")
+    changed, added = documents.with_hooks(value, HOOKS)
+    if added:
+        documents.write(settings, changed)
+    return added
 
 
 def formulary(spark: SparkSession) -> DataFrame:
@@ -112,10 +175,7 @@ def formulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string, tier string, prescriptions array<string>")
 
 
-def guard(spark: SparkSession, folder: str, state: str, checkpoint: str, hard_mb: float = 50, soft_mb: float | None = None, interval: str = "30 seconds"):
-    """Starts the guard on a folder of JSON-lines files; gives the running query."""
-    text = spark.readStream.option("recursiveFileLookup", "true").text(folder)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)
-    lines = text.select(name.alias("session_id"), F.octet_length("value").cast("long").alias("byte_size"))
+def guard(spark: SparkSession, folder: str, state: str, checkpoint: str, hard_mb: float = 50, soft_mb: float | None = None, danger_mb: float = 90, prescription: str = "standard", **more):
+    """Starts the guard on a folder of transcripts (see streaming.guard.watch); gives the running query."""
     mb = 1024 * 1024
-    return streaming.start_guard(lines, state, checkpoint, hard_mb * mb, None if soft_mb is None else soft_mb * mb, interval=interval)
+    return streaming.watch(spark, folder, state, checkpoint, hard_mb * mb, None if soft_mb is None else soft_mb * mb, danger_mb * mb, prescription, **more)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.scalar import truthy
 from skein.operators.lines import CHUNK_KEY, chunk_of, numbered
+from skein.session import cut
 
 # Tools, words and forms that mark team lines.
 TEAM_TOOLS = [
@@ -235,8 +236,7 @@ def recovery_lines(lines: DataFrame, states: DataFrame, stamp: str = "1970-01-01
     with an empty state get none.
     """
     last = lines.groupBy("session_id").agg(F.max("line_index").alias("end"), F.max_by("uuid", F.when(F.col("uuid") != "", F.col("line_index"))).alias("tip")).where("tip is not null")
-    empty = (F.col("team_name") == "") & F.col("teammates").isNull() & F.col("subagents").isNull() & F.col("tasks").isNull()
-    rows = states.where(~empty).join(last, "session_id")
+    rows = states.where(~is_empty()).join(last, "session_id")
     uid = lambda n: F.md5(F.concat_ws(":", "session_id", "tip", F.lit(n)))
     first = F.struct((F.col("end") + 1).alias("line_index"), F.lit("user").alias("type"), uid("1").alias("uuid"), F.col("tip").alias("parent_uuid"), F.concat(F.lit("Team state to go on with:\n"), recovery_text()).alias("text"))
     second = F.struct((F.col("end") + 2).alias("line_index"), F.lit("assistant").alias("type"), uid("2").alias("uuid"), uid("1").alias("parent_uuid"), F.lit("The team state above is taken over.").alias("text"))
@@ -274,7 +274,40 @@ def checkpoint_text() -> Column:
     )
 
 
-def team_protected(lines: DataFrame, run) -> DataFrame:
-    """Applies `run` (lines -> lines) to everything but the team's lines, as if they weren't there."""
-    team = is_team_line(F.col("type"), F.col("root_content"), F.col("content_kind"), F.col("blocks"))
-    return run(lines.where(~team)).unionByName(lines.where(team))
+def is_empty() -> Column:
+    """Whether a team state has nothing in it."""
+    return (F.col("team_name") == "") & F.col("teammates").isNull() & F.col("subagents").isNull() & F.col("tasks").isNull()
+
+
+def change_hash() -> Column:
+    """Of a team state, what a new checkpoint is worth writing for: agents, tasks and messages in number."""
+    return F.concat_ws(":", F.greatest(F.size("subagents"), F.lit(0)), F.greatest(F.size("tasks"), F.lit(0)), "messages")
+
+
+def recovery_raw(lines: DataFrame, states: DataFrame, stamp: str) -> DataFrame:
+    """The recovery lines as JSON text: session_id, line_index, raw."""
+    part = F.struct(F.lit("text").alias("type"), F.col("text"))
+    whole = F.struct(
+        F.col("type"), "uuid", F.col("parent_uuid").alias("parentUuid"), F.col("session_id").alias("sessionId"), F.lit(False).alias("isSidechain"), F.col("ts_text").alias("timestamp"),
+        F.struct(F.col("type").alias("role"), F.array(part).alias("content")).alias("message"),
+    )
+    return recovery_lines(lines, states, stamp).select("session_id", "line_index", F.to_json(whole).alias("raw"))
+
+
+def team_protected(lines: DataFrame, run, stamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Applies `run` (lines -> lines) to everything but the team's lines, as if they weren't there.
+
+    In sessions with an empty team state nothing is spared. The others get two lines at their end
+    that tell the team's state (see recovery_lines; clock `stamp`). Lines come in order within their
+    chunks, each session's by line_index.
+    """
+    from skein.sources.jsonl import from_raw
+
+    lines = cut(lines)
+    states = cut(team_state(lines))
+    teams = states.where(~is_empty()).select("session_id", F.lit(True).alias("_team"))
+    marked = lines.join(teams, "session_id", "left").withColumn("_team", F.coalesce("_team", F.lit(False)) & is_team_line(F.col("type"), F.col("root_content"), F.col("content_kind"), F.col("blocks")))
+    marked = marked.select(*lines.columns, "_team")
+    added = from_raw(recovery_raw(lines, states, stamp)).select(*lines.columns)
+    out = run(marked.where(~F.col("_team")).drop("_team")).unionByName(marked.where("_team").drop("_team")).unionByName(added)
+    return out.repartition(*CHUNK_KEY).sortWithinPartitions("session_id", "line_index")

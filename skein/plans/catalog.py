@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from skein.functions import scalar
 from skein.operators import diagnosis, drift, executor, flatten, model, recap, strategies, team, tokens
 from skein.plans.prescriptions import STRATEGIES
 from skein.plans.sql import SQL
-from skein.session import cut, table, tune
+from skein.session import cut, shared_folder, table, tune
 from skein.sources import adapters
 from skein.sources import catalog as sessions
 from skein.streaming import guard
@@ -237,11 +237,10 @@ def formats(spark: SparkSession, folder: str) -> DataFrame:
 
 def guard_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The whole table as a file stream, in one run to its end; events of sessions that reach a tier."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    place = f"{root}/guard-{spark.sparkContext.applicationId}-{id(object())}" if root else tempfile.mkdtemp(prefix="skein-guard-")
+    place = shared_folder(spark, f"guard-{uuid.uuid4().hex}")
     batch = table(spark, folder, "messages")
     stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/messages.parquet*").select("session_id", "byte_size")
-    query = guard.start_guard(stream, f"{place}/events", f"{place}/checkpoint", hard=20_000, available_now=True, name=f"guard_{abs(hash(place))}")
+    query = guard.start_guard(stream, f"{place}/events", f"{place}/checkpoint", hard=20_000, available_now=True, name=f"guard_{uuid.uuid4().hex}")
     query.awaitTermination()
     return spark.read.parquet(f"{place}/events").select("session_id", "bytes", "tier")
 

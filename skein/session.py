@@ -40,3 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that Spark would read it from."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name in the one the cluster names in spark.checkpoint.dir; an own one only where it is unset and Spark is local."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{name}" if root else tempfile.mkdtemp(prefix=f"{name}-")

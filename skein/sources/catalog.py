@@ -13,7 +13,7 @@ def from_table(files: DataFrame) -> DataFrame:
 
 
 def from_files(spark: SparkSession, pattern: str, project: str | None = None) -> DataFrame:
-    """The catalogue of the *.jsonl files below a path; physical lines are counted, backups left out.
+    """The catalogue of the *.jsonl files below a path; physical lines are counted, backups left out (see `backups`).
 
     `project` keeps projects whose name contains it, whatever the case.
     """
@@ -29,6 +29,29 @@ def from_files(spark: SparkSession, pattern: str, project: str | None = None) ->
     return rows.select("path", "project", "session_id", "size", "mtime", "lines")
 
 
+def backups(spark: SparkSession, folder: str) -> DataFrame:
+    """The *.bak files below a folder: path, project, session_id, size, mtime, lines (null); their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bak").load(folder)
+    null = lambda t: F.lit(None).cast(t)
+    return files.select("path", F.element_at(F.split("path", "/"), -2).alias("project"), null("string").alias("session_id"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), null("long").alias("lines"))
+
+
+def find(catalogue: DataFrame, wanted: str, cwd: str | None = None) -> DataFrame:
+    """The session meant by a path, an id, the beginning of one, or `current`: the newest of the directory's project, else the newest."""
+    if wanted == "current":
+        slug = (cwd or "").replace("/", "-")
+        near = F.contains("project", F.lit(slug)) if slug else F.lit(False)
+        return catalogue.where(F.col("mtime").isNotNull()).orderBy(~F.coalesce(near, F.lit(False)), F.desc("mtime"), "path").limit(1)
+    if wanted.endswith(".jsonl"):
+        return catalogue.where(F.col("path").endswith(wanted)).orderBy(F.length("path"), "path").limit(1)
+    return resolve(catalogue, wanted)
+
+
+def usual_project(catalogue: DataFrame) -> DataFrame:
+    """The project that most sessions are of: project (the mode; the first by name of several)."""
+    return catalogue.groupBy("project").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project").limit(1).select("project")
+
+
 def resolve(catalogue: DataFrame, wanted: str) -> DataFrame:
     """The session with that id, or the first in (project, path) order whose id begins with it; at most one row."""
     hits = catalogue.where(F.col("session_id").startswith(wanted))

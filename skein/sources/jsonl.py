@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators.lines import chunk_of
@@ -97,13 +97,19 @@ def _split(schema: str) -> list[str]:
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """session_id, line_index, raw of the *.jsonl files below a path; blank lines count, but give no row.
 
-    A file is read whole, so that its lines keep their numbers; its lines go on in chunks.
+    Files are read in splits. A line's number is its place in its split, as the scan numbers rows of
+    a partition one by one, after the lines of the file's splits before, of which there is one row each.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)
-    lines = files.select(name.alias("session_id"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_index", "raw"))
-    raw = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
-    return lines.select("session_id", F.col("line_index").cast("long").alias("line_index"), raw.alias("raw")).where(F.length("raw") > 0)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    meta = F.col("_metadata")
+    rows = text.select("value", meta["file_path"].alias("file"), meta["file_name"].alias("name"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    lines = rows.join(splits, ["file", "split"])
+    raw = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    session = F.regexp_extract("name", r"^(.*)\.jsonl$", 1)
+    return lines.select(session.alias("session_id"), (F.col("before") + F.col("at") - F.col("first")).cast("long").alias("line_index"), raw.alias("raw")).where(F.length("raw") > 0)
 
 
 def from_raw(lines: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def test_calls(spark, folder, tmp_path):
     assert "core" in api.checkpoints(spark, folder).collect()[0].report
     recaps = api.recaps(spark, folder)
     api.write_texts(recaps, "recap", str(tmp_path / "recaps"))
-    assert recaps.count() == 2 and api.doctor(spark, folder).count() == 3 and api.formulary(spark).count() == 13
+    assert recaps.count() == 2 and api.doctor(spark, folder).count() == 4 and api.formulary(spark).count() == 13
     assert {r.prescription for r in api.what_if(spark, folder, "abc").collect()} == {"gentle", "standard", "aggressive"}
 
 
