@@ -38,3 +38,28 @@ def test_calls(spark, folder, tmp_path):
 def test_command_line(spark, capsys):
     command.main(["formulary"])
     assert "progress-collapse" in capsys.readouterr().out
+
+
+def test_tool_server(spark, folder):
+    import io
+
+    from skein import server
+
+    asks = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "nothing"}]
+    asks += [{"id": 10 + i, "method": "tools/call", "params": p} for i, p in enumerate([
+        {"name": "list_sessions"}, {"name": "diagnose", "arguments": {"session": "ab"}}, {"name": "estimate_tokens"}, {"name": "treat_session", "arguments": {"session": "abc", "prescription": "gentle"}}, {"name": "list_strategies"},
+        {"name": "diagnose", "arguments": {"session": "zz"}}, {"name": "none"},
+    ])]
+    out = io.StringIO()
+    server.serve(spark, folder, io.StringIO("".join(json.dumps(a) + "\n" for a in asks) + "{broken\n"), out)
+    got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert len(got) == 11 and len(got[2]["result"]["tools"]) == 5 and got[3]["error"]["code"] == -32601 and got[16]["error"]["code"] == -32602 and got[None]["error"]["code"] == -32700
+    text = lambda i: json.loads(got[i]["result"]["content"][0]["text"])
+    assert len(text(10)) == 2 and text(11)[0]["messages"] == 5 and text(13)[0]["session_id"] == "abc" and len(text(14)) == 13 and got[15]["result"]["isError"]
+
+
+def test_reload_writes_session_and_report(spark, folder, tmp_path):
+    assert api.reload(spark, folder, "abc", str(tmp_path / "re"), "gentle").collect()[0].result.endswith("MB saved")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "re" / "sessions")).collect()]
+    assert sum("Team state to go on with" in v for v in lines) == 1
+    assert "core" in "".join(r.value for r in spark.read.text(str(tmp_path / "re" / "reports")).collect())
