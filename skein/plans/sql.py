@@ -106,7 +106,37 @@ def formatted(number: str, unit: int, small: str, names: tuple[str, str]) -> str
     return f"case when {number} < {unit} then {small} when {number} < {unit * unit} then format('{{:.1f}}{names[0]}', round({number} / {unit}.0, 1)) else format('{{:.2f}}{names[1]}', round({number} / {unit * unit}.0, 2)) end"
 
 
+DRIFT = """with recursive c as (select distinct path, name, call_id, input from team_calls where path is not null and name is not null and json_valid(input) and json_type(input) = 'OBJECT'),
+ w as (select path, name, '' as f, input::json as j from c
+  union all select path, name, case when kind = 'ARRAY' then f || '[]' when f = '' then k else f || '.' || k end, v from (select *, case when kind = 'OBJECT' then json_extract(j, '$."' || k || '"') else json_extract(j, '$[' || k || ']') end as v
+   from (select *, unnest(case when kind = 'OBJECT' then json_keys(j) else range(json_array_length(j)::bigint)::varchar[] end) as k from (select *, json_type(j) as kind from w) where kind = 'OBJECT' or kind = 'ARRAY' and list_has_any(json_type(j, '$[*]'), ['OBJECT', 'ARRAY'])))
+  where kind = 'OBJECT' or json_type(v) in ('OBJECT', 'ARRAY')),
+ l as (select path, name, f, j->>'$' as v, case when t = 'VARCHAR' then 'string' when t in ('BOOLEAN', 'ARRAY') then lower(t) else 'number' end as kind
+  from (select *, json_type(j) as t from w where f <> '') where t not in ('OBJECT', 'NULL') and not (t = 'ARRAY' and list_has_any(json_type(j, '$[*]'), ['OBJECT', 'ARRAY']))),
+ k as (select path, name, f, kind from (select path, name, f, kind, count(*) as n from l group by all) qualify row_number() over (partition by path, name, f order by n desc, list_position(['string', 'number', 'boolean', 'array'], kind)) = 1),
+ s as (select x.path, x.name, project, row_number() over (partition by project, x.name order by mtime nulls first, x.path) as no from (select distinct path, name from c) x join (select path, max(project) as project, max(mtime) as mtime from session_files where path is not null group by 1) using (path)),
+ p as (select b.path, b.name, a.path as old from s a join s b on a.project is not distinct from b.project and a.name = b.name and b.no = a.no + 1),
+ o as (select p.path, p.name, k.f, k.kind from p join k on k.path = p.old and k.name = p.name), n as (select p.path, p.name, k.f, k.kind from p join k on k.path = p.path and k.name = p.name),
+ b as (select path, name, f, o.kind as old_kind, n.kind as new_kind from o full join n using (path, name, f)),
+ ov as (select distinct b.path, b.name, b.f, old_kind, l.v from b join p using (path, name) join l on l.path = p.old and l.name = b.name and l.f = b.f where new_kind is null),
+ nv as (select distinct b.path, b.name, b.f, new_kind, l.v from b join l using (path, name, f) where old_kind is null),
+ r as (select ov.path, ov.name, ov.f as old_field, nv.f as new_field, old_kind, new_kind from ov join nv using (path, name, v) join (select path, name, f, count(*) as n from nv group by all) z on z.path = nv.path and z.name = nv.name and z.f = nv.f group by all having count(*) >= any_value(z.n) * 0.5)
+ select path, name, 'renamed' as change, old_field, new_field from r union all select path, name, 'retyped', old_field, new_field from r where old_kind <> new_kind
+ union all select path, name, 'retyped', f, f from b where old_kind <> new_kind union all select path, name, 'removed', f, '' from b where new_kind is null and not exists (select 1 from r where r.path = b.path and r.name = b.name and r.old_field = b.f)
+ union all select path, name, 'added', '', f from b where old_kind is null and not exists (select 1 from r where r.path = b.path and r.name = b.name and r.new_field = b.f)"""
+ELEMENTS = """with recursive l as (select distinct line_id, json_extract(raw, '$.message') as m from transcript_lines where line_id is not null and json_valid(raw) and json_type(raw) = 'OBJECT'),
+ s as (select line_id, case when json_type(m) = 'VARCHAR' then case when starts_with(ltrim(m->>'$'), '{') and json_valid(m->>'$') then (m->>'$')::json end when json_type(m) in ('OBJECT', 'ARRAY') then m end as j from l),
+ w as (select line_id, '' as path, '' as up, false as element, j from s where j is not null
+  union all select line_id, case when kind = 'OBJECT' then case when path = '' then k else path || '.' || k end else path || '[' || k || ']' end, case when element and kind = 'OBJECT' then path else up end, kind = 'ARRAY', v
+  from (select *, case when kind = 'OBJECT' and k in ('message', 'input') and json_type(c) = 'VARCHAR' and starts_with(ltrim(c->>'$'), '{') and json_valid(c->>'$') then (c->>'$')::json else c end as v
+   from (select *, case when kind = 'OBJECT' then json_extract(j, '$."' || k || '"') else json_extract(j, '$[' || k || ']') end as c
+    from (select *, unnest(case when kind = 'OBJECT' then json_keys(j) else range(json_array_length(j)::bigint)::varchar[] end) as k from (select *, json_type(j) as kind from w) where kind in ('OBJECT', 'ARRAY'))))
+  where json_type(v) in ('OBJECT', 'ARRAY'))
+ select distinct line_id, path as node_path, up as parent_path from w where element and json_type(j) = 'OBJECT'"""
+
 SQL: dict[str, str] = {
+    "p3_found": DRIFT,
+    "p6_found": ELEMENTS,
     "session_catalog": f"with {FILES} select * from f",
     "catalog_totals": f"with {FILES} select project, count(*) as sessions, sum(size)::bigint as bytes from f group by 1",
     "newest_session": f"with {FILES} select path, mtime from f where mtime is not null order by mtime desc, path limit 1",
