@@ -103,9 +103,31 @@ DEFECTS = f"""with {LINES}, t as (select *, len(list_filter(coalesce(blocks, [])
  select session_id, 'empty' as defect from e union all select session_id, 'no_reply' from n union all select session_id, 'broken' from x"""
 
 
+SPANS = """with t as (select distinct block_id, f, v from (select block_id, 'content' as f, content as v from file_blocks union all select block_id, 'text', text from file_blocks) where block_id is not null and length(v) >= 200),
+ w as (select block_id, f, md5(v) as t, i, md5(substring(v, (i + 1)::bigint, 200)) as s from (select *, unnest(range(length(v) - 199)) as i from t)),
+ h as (select w.* from w semi join (select s from w group by s having min(block_id) <> max(block_id)) using (s)),
+ r as (select *, sum(fresh) over (partition by block_id, f, t order by i) as run from (select *, (coalesce(i - lag(i) over (partition by block_id, f, t order by i), 1000) > 200)::int as fresh from h))
+ select distinct block_id, start_pos, end_pos from (select block_id, f, t, run, min(i)::bigint as start_pos, (max(i) + 200)::bigint as end_pos from r group by all)"""
+
+
+def _words(text: str) -> str:
+    """The normalised words of a text, as `leaks.normalise` gives them: remarks left out, hyphens at line ends joined, case folded."""
+    text = f"replace(lower({text}), 'ß', 'ss')"
+    for pattern, put in ((r"\([^()\[\]]*\)|\[[^()\[\]]*\]", " "), (r"([\p{L}\p{N}_])[-‐\x{ad}][^\S\n]*\n\s*", r"\1"), (r"[\x{ad}\x{200b}]", ""), (r"[^\p{L}\p{N}\p{M}]+", " ")):
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
+
+
+def _passages(key: str, table: str) -> str:
+    words = f"select distinct {key}, {_words('text')} as w from {table} where {key} is not null and text is not null"
+    return f"select distinct {key}, array_to_string(w[k + 1 : k + 25], ' ') as s from (select *, unnest(range(len(w) - 24)) as k from ({words}) where len(w) >= 25)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": DEFECTS,
+        "p2_found": SPANS,
+        "p7_found": f"select distinct doc_id, item_id from ({_passages('item_id', 'eval_items')}) join ({_passages('doc_id', 'documents')}) using (s)",
         "p5_found": f"{RUNS} select session_id, first_line, last_line from r where events >= 3",
         "p5_collapsed": f"{RUNS} select session_id, type, name_key, first_line, last_line, events, first_ts_.t as first_ts, last_ts_.t as last_ts, (epoch_us(last_ts_.t) - epoch_us(first_ts_.t))::bigint as duration_us from r",
     }
