@@ -35,26 +35,26 @@ ANY = "<*>"
 # ---- Fixed values: what messages are about, and what they say of it, in four languages.
 _THING = (
     r"pages?|documents?|transcripts?|records?|sites?|websites?|web|servers?|sessions?|requests?|address|connection|database|service|files?|urls?|links?|reports?|sitting|contents?|resources?|gateway|articles?|"
-    r"images?|videos?|applications?|app|items?|results?|data|feed|archive|host|network|login|account|"
-    r"seite|webseite|dokument|protokoll|sitzungsbericht|bericht|inhalt|inhalte|datei|dienst|sitzung|verbindung|anfrage|server|datenbank|ressource|adresse|anwendung|artikel|verweis|konto|"
+    r"images?|videos?|forms?|comments?|applications?|app|items?|results?|data|feed|archive|host|network|login|account|"
+    r"seite|webseite|dokument|protokoll|sitzungsbericht|bericht|inhalt|inhalte|datei|dienst|sitzung|verbindung|anfrage|server|datenbank|ressource|adresse|anwendung|artikel|verweis|konto|video|formular|kommentare?|"
     r"página|pagina|documento|diario|acta|archivo|contenido|servicio|servidor|sesión|enlace|solicitud|recurso|conexión|dirección|sitio|artículo|cuenta|"
     r"compte rendu|contenu|serveur|fichier|lien|adresse|accès|ressource|connexion|requête|site|base de données|compte|acceso|access|zugriff"
 )
 _NOT = r"(?:could|can|may|does|did|do|is|are|was|were|has|have)(?: ?not|n[’']t)|cannot|unable to|fail(?:ed|s|ure) to|not"
 _DONE = (
-    r"found|loaded|displayed|opened|rendered|shown|retrieved|reached|processed|completed|accessed|located|fetched|established|resolved|"
+    r"found|loaded|displayed|opened|rendered|shown|retrieved|reached|processed|completed|accessed|located|fetched|established|resolved|saved|played|sent|submitted|verified|parsed|read|written|started|"
     r"load|display|open|render|show|retrieve|reach|process|complete|access|locate|find|fetch|connect|available|exist|respond(?:ing)?|accessible|authori[sz]ed|allowed|permitted"
 )
 _FAILS = (
-    rf"(?:{_NOT}) (?:be |been |currently |yet |to be |longer )?(?:{_DONE})|no longer (?:available|exists?|online)|(?:has|have) (?:expired|crashed)|expired|unexpected error|"
-    r"(?:has been|have been|was|were) (?:moved|deleted|removed|archived)(?: or (?:moved|deleted|removed|renamed))?|(?:is|are) being (?:migrated|moved|updated)|connection (?:failed|lost|refused|reset|closed)|timed? ?out|"
+    rf"(?:{_NOT}) (?:be |been |currently |yet |to be |longer )?(?:{_DONE})|no longer (?:available|exists?|online)|(?:has|have) (?:expired|crashed)|expired|unexpected error|no results? found|too busy|(?:sign|log) in to continue|corrupt(?:ed)?|^(?:error|erreur|fehler) (?:<status>|<\*>)|"
+    r"(?:has been|have been|was|were) (?:moved|deleted|removed|archived|suspended|blocked|disabled|locked|terminated)(?: or (?:moved|deleted|removed|renamed))?|(?:is|are) being (?:migrated|moved|updated)|connection (?:failed|lost|refused|reset|closed)|timed? ?out|"
     r"access (?:is )?(?:denied|forbidden|restricted)|permission to (?:view|access|open)|temporarily (?:down|offline|out of service)|(?:temporarily |currently )?unavailable|went wrong|too many (?:requests|redirects)|bad (?:gateway|request)|no valid reply|"
     r"(?:internal |server |fatal |system )?error (?:has )?(?:occurred|happened)|internal (?:server )?error|forbidden|unauthori[sz]ed|(?:under|for|down for|due to) (?:scheduled )?maintenance|broken link|moved permanently|"
-    r"nicht (?:gefunden|geladen|verfügbar|mehr verfügbar|erreichbar|angezeigt|geöffnet|vorhanden|dargestellt|verarbeitet|abgerufen|mehr vorhanden)|existiert nicht|abgelaufen|(?:verschoben|gelöscht|entfernt)(?: oder (?:verschoben|gelöscht|entfernt))?|"
+    r"nicht (?:gefunden|geladen|verfügbar|mehr verfügbar|erreichbar|angezeigt|geöffnet|vorhanden|dargestellt|verarbeitet|abgerufen|abgespielt|gespeichert|mehr vorhanden)|existiert nicht|beschädigt|gesperrt|abgelaufen|(?:verschoben|gelöscht|entfernt)(?: oder (?:verschoben|gelöscht|entfernt))?|"
     r"wird (?:gerade |derzeit )?(?:migriert|gewartet)|(?:zugriff|zugang) (?:wurde )?verweigert|interner (?:server)?fehler|vorübergehend nicht|fehlgeschlagen|schiefgelaufen|zeitüberschreitung|fehler (?:ist )?aufgetreten|wartungsarbeiten|"
-    r"introuvables?|n[’'](?:est|a) (?:plus|pas) (?:été )?(?:disponible|accessible|trouvée?|chargée?)|n[’']a pas pu|n[’']existe (?:pas|plus)|a expiré|accès (?:refusé|interdit)|a été (?:déplacée?|supprimée?|archivée?)|en cours de (?:migration|maintenance)|en maintenance|"
+    r"introuvables?|est (?:rompue?|corrompue?|suspendue?|bloquée?)|n[’'](?:est|a) (?:plus|pas) (?:été )?(?:disponible|accessible|trouvée?|chargée?)|n[’']a pas pu|n[’']existe (?:pas|plus)|a expiré|accès (?:refusé|interdit)|a été (?:déplacée?|supprimée?|archivée?)|en cours de (?:migration|maintenance)|en maintenance|"
     r"erreur interne|indisponible|impossible (?:de |d[’'])(?:charger|afficher|trouver|ouvrir|accéder)|erreur (?:inattendue )?(?:s[’']est produite|est survenue)|délai (?:d[’']attente )?dépassé|"
-    r"no (?:se )?(?:ha|han) podido|no (?:se )?pud(?:o|ieron)|no se (?:pudo|puede|encontró|encuentra|ha encontrado)|no existe|no encontrad[oa]|ya no (?:está disponible|existe)|no (?:está )?disponible|ha (?:caducado|expirado)|acceso (?:denegado|prohibido)|"
+    r"no (?:se )?(?:ha|han) podido|no (?:se )?pud(?:o|ieron)|no se (?:pudo|puede|encontró|encuentra|ha encontrado)|no existe|no encontrad[oa]|ya no (?:está disponible|existe)|no (?:está )?disponible|ha (?:caducado|expirado)|acceso (?:denegado|prohibido)|se ha perdido|ha sido (?:suspendid|bloquead)[oa]|"
     r"error (?:interno|inesperado)|se está migrando|ha sido (?:movid|eliminad)[oa]|tiempo de espera (?:agotado|excedido)|en mantenimiento|(?:ha ocurrido|se ha producido) un error"
 )
 # Of these nobody speaks but programs: one word beside them may be unknown.
@@ -95,6 +95,7 @@ _MARKS = (
     "introuvable introuvables disponible accessible trouvé trouvée chargé chargée n'a n’a n'est n’est n'existe n’existe expiré refusé interdit déplacé déplacée supprimé supprimée archivé archivée migration indisponible impossible erreur délai "
     "podido pudo pudieron puede encontró encuentra encontrado encontrada existe caducado expirado denegado prohibido migrando movido movida eliminado eliminada espera mantenimiento "
     "java javascript script scripts cookie cookies browser navigateur navegador plug plugin plugins flash adblocker adblockers blocker blockers werbeblocker "
+    "saved played sent submitted verified parsed read written started suspended blocked disabled locked terminated results busy sign continue corrupt corrupted abgespielt gespeichert beschädigt gesperrt rompu rompue corrompu corrompue suspendu suspendue bloqué bloquée perdido suspendido suspendida bloqueado bloqueada "
     "home start accueil inicio startseite menu imprint search sitemap impressum suche recherche buscar contact page form buscador log identifier reconnecter retry try https http traceback fatal warning uncaught "
     "text content speech answer transcript details description sample dummy placeholder blindtext platzhalter platzhaltertext mustertext beispieltext inhalt texte texto layout insert coming construction"
 ).split()
