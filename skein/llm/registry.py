@@ -18,7 +18,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_conversations(spark: SparkSession, folder: str) -> DataFrame:
     tune(spark)
-    return conversations.conversations(table(spark, folder, "messages"))
+    turns = conversations.conversations(table(spark, folder, "messages"))
+    ids = lambda c: F.array_join(c, ",").alias(c)
+    return turns.select("session_id", F.col("key.peak_line").alias("waits_for"), "line_index", "speaker", "text", ids("uses"), ids("results"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,10 +125,30 @@ def _passages(key: str, table: str) -> str:
     return f"select distinct {key}, array_to_string(w[k + 1 : k + 25], ' ') as s from (select *, unnest(range(len(w) - 24)) as k from ({words}) where len(w) >= 25)"
 
 
+def _ids(kind: str, field: str) -> str:
+    return f"array_to_string(list_transform(list_filter(coalesce(blocks, []), lambda b: b.type = '{kind}'), lambda b: b.{field}), ',')"
+
+
+# no line of the tables waits for a later one
+TURNS = f"""with bad as ({DEFECTS}), {LINES} select session_id, line_index as waits_for, line_index, type as speaker, array_to_string(list_transform(list_filter(coalesce(blocks, []), lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), chr(10)) as text,
+ {_ids('tool_use', 'id')} as uses, {_ids('tool_result', 'tool_use_id')} as results from m anti join bad using (session_id) where type in ('user', 'assistant') and not coalesce(is_sidechain, false)
+ and len(list_filter(coalesce(blocks, []), lambda b: b.type = 'text' and regexp_matches(coalesce(b.text, ''), '\\S') or b.type in ('tool_use', 'tool_result'))) > 0"""
+SHARES = f"""with x as (select block_id, f, sum(end_pos - start_pos)::bigint as shared from ({SPANS.replace("select distinct block_id, start_pos, end_pos from", "select * from")}) group by 1, 2),
+ a as (select block_id, f, max(length(v))::bigint as chars from (select block_id, 'content' as f, content as v from file_blocks union all select block_id, 'text', text from file_blocks) where block_id is not null and v is not null group by 1, 2)
+ select block_id, f as field, chars, coalesce(shared, 0) as shared_chars, case when chars > 0 then coalesce(shared, 0) / chars else 0.0 end as shared_share from a left join x using (block_id, f)"""
+LEAKS = f"""with h as (select distinct item_id, doc_id, k from ({_passages('item_id', 'eval_items')}) join ({_passages('doc_id', 'documents').replace("as s from", "as s, k from")}) using (s)),
+ r as (select *, sum(fresh) over (partition by item_id, doc_id order by k) as run from (select *, (coalesce(k - lag(k) over (partition by item_id, doc_id order by k), 1000) > 25)::int as fresh from h)),
+ w as (select item_id, doc_id, max(k) - min(k) + 25 as words from r group by item_id, doc_id, run), n as (select item_id, count(distinct doc_id) as documents, max(words)::bigint as most_words from w group by 1)
+ select item_id, coalesce(documents, 0)::bigint as documents, coalesce(most_words, 0)::bigint as most_words from (select distinct item_id from eval_items where item_id is not null) left join n using (item_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": DEFECTS,
+        "p1_conversations": TURNS,
         "p2_found": SPANS,
+        "p2_shares": SHARES,
+        "p7_report": LEAKS,
         "p7_found": f"select distinct doc_id, item_id from ({_passages('item_id', 'eval_items')}) join ({_passages('doc_id', 'documents')}) using (s)",
         "p5_found": f"{RUNS} select session_id, first_line, last_line from r where events >= 3",
         "p5_collapsed": f"{RUNS} select session_id, type, name_key, first_line, last_line, events, first_ts_.t as first_ts, last_ts_.t as last_ts, (epoch_us(last_ts_.t) - epoch_us(first_ts_.t))::bigint as duration_us from r",
