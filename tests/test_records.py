@@ -8,7 +8,7 @@ import pytest
 from skein.functions.jsontext import parse
 from skein.operators import drift, flatten
 from skein.plans import catalog
-from skein.streaming import guard
+from skein.streaming import guard, recovery
 
 CALLS = "path string, line_index long, name string, call_id string, input string, extra string"
 FILES = "path string, project string, mtime timestamp"
@@ -158,14 +158,20 @@ def test_guard_stream(spark, tmp_path):
     assert sorted(rises) == [("a", "hard"), ("a", "soft"), ("b", "hard")]
 
 
-def test_ladder(spark):
+def test_ladder(spark, tmp_path):
     past = spark.createDataFrame([("a", 10.0), ("a", 290.0), ("b", 290.0), ("b", 291.0), ("b", 299.0)], "key string, at double")
-    assert {r.key: (r.recent, r.allowed, r.prescription) for r in guard.recovery_ladder(past, 311.0).collect()} == {"a": (1, True, "standard"), "b": (3, False, None)}
-
-
-def test_overflow_mark(spark):
-    rows = spark.createDataFrame([("a", "x Conversation too long y"), ("b", "fine"), ("c", None)], "session_id string, raw string")
-    assert [r.session_id for r in guard.overflowed(rows).collect()] == ["a"]
+    breaker = recovery.Breaker(spark, str(tmp_path / "recoveries"))
+    breaker.record(past.selectExpr("key", "at", "'gentle' as prescription", "1 as bytes_before", "1 as bytes_after"))
+    assert {r.key: (r.recent, r.allowed, r.prescription) for r in breaker.state(past, 311.0).collect()} == {"a": (1, True, "standard"), "b": (3, False, None)}
+
+
+def test_overflow_mark(spark, tmp_path):
+    mark = "x Conversation too long y"
+    texts = {"a": f"one\n{mark}\n", "b": "fine\n", "early": mark + "\nline" * 20, "small": mark, "far": mark + "\n" + "z" * 200_000}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    files = spark.createDataFrame([(n, str(tmp_path / n), 1 if n == "small" else 100) for n in texts], "session_id string, path string, bytes long")
+    assert [r.session_id for r in recovery.overflowed(files, 50).collect()] == ["a"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
