@@ -56,7 +56,7 @@ def _signed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _file_events(spark: SparkSession, folder: str) -> DataFrame:
-    return adapters.events_as_files(table(spark, folder, "events"))
+    return cut(adapters.events_as_files(table(spark, folder, "events")))  # read several times
 
 
 def _call_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +252,7 @@ def queries() -> dict[str, Query]:
         prescription_report, team_protected_gentle, task_upsert, config_merge, model_window_lookup, topic_dedup, recent_topics, word_coverage, themes, breaker_window, guard_tiers,
         overflow_sessions, formats, guard_stream, model_windows, clean_texts, team_state, types_by_bytes, health_checks,
     )
-    events = lambda spark, folder: adapters.events_as_calls(table(spark, folder, "events"))
+    events = lambda spark, folder: cut(adapters.events_as_calls(table(spark, folder, "events")))
     sample = lambda f: lambda spark, folder: f(_files(spark, folder))
     return {f.__name__: f for f in named} | {
         "session_catalog": _files,
