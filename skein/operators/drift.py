@@ -25,7 +25,7 @@ from skein.session import cut
 
 #: A renamed field carries at least this share of its values over from the old one.
 RENAME_SHARE = 0.5
-#: Columns of a wide table; a union schema with more comes as a map in one column.
+#: Fields whose columns go to the calls as one broadcast map; those of more are joined leaf by leaf, with the same result.
 MOST_FIELDS = 5000
 #: Order in which the commonest type of a field is taken when several are equally common.
 TYPE_ORDER = ("string", "number", "boolean", "array")
@@ -211,47 +211,62 @@ def _columns(union: DataFrame, renamed: DataFrame) -> DataFrame:
 
 
 def _cells(read: DataFrame, columns: DataFrame, most_fields: int) -> DataFrame:
-    """Each call with `all`, its values with their columns in order of these: path, name, call_id, all.
+    """Each row of `read` with `all`, its values with their columns in order of these: path, name, call_id, all.
 
-    The columns of up to `most_fields` fields go to the calls as a map; more are joined leaf by leaf.
+    The columns of up to `most_fields` fields go to the calls as a map; more are joined leaf by leaf
+    and put together again by `row`, the number of the call. Both ways give the same rows.
     """
     if columns.limit(most_fields + 1).count() <= most_fields:
         maps = columns.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("to"))
         placed = F.transform("leaves", lambda x: F.struct(F.col("to")[x["field"]].alias("column"), x["value"].alias("value")))
         return read.join(F.broadcast(maps), "name", "left").select("path", "name", "call_id", F.sort_array(placed).alias("all"))  # at most most_fields entries
     leaf = F.col("l")
-    cells = read.select("path", "name", "call_id", F.explode("leaves").alias("l")).select("path", "name", "call_id", leaf["field"].alias("field"), leaf["value"].alias("value"))
+    cells = read.select("row", "name", F.explode("leaves").alias("l")).select("row", "name", leaf["field"].alias("field"), leaf["value"].alias("value"))
     cells = cells.join(columns.select("name", "field", "column"), ["name", "field"])
-    cells = cells.groupBy("path", "name", "call_id").agg(F.sort_array(F.collect_list(F.struct("column", "value"))).alias("all"))
+    cells = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("column", "value"))).alias("all"))
     none = F.array().cast("array<struct<column:string,value:string>>")
-    return read.select("path", "name", "call_id").distinct().join(cells, ["path", "name", "call_id"], "left").withColumn("all", F.coalesce("all", none))
+    return read.select("row", "path", "name", "call_id").join(cells, "row", "left").select("path", "name", "call_id", F.coalesce("all", none).alias("all"))
 
 
-def unified_calls(calls: DataFrame, catalogue: DataFrame, most_fields: int = MOST_FIELDS) -> DataFrame:
-    """All calls in one table: path, name, call_id, and a column for every field of the union schema.
+def _named(columns: list[str], keys: tuple[str, ...]) -> list[str]:
+    """A name for each of `columns`, after as many `input.` as it takes to differ, ignoring case, from keys and names given before; first those that are called like a key."""
+    taken, names = {k.lower() for k in keys}, {}
+    for column in sorted(columns, key=lambda c: c not in keys):
+        name = column
+        while name.lower() in taken:
+            name = f"input.{name}"
+        taken.add(name.lower())
+        names[column] = name
+    return [names[c] for c in columns]
+
+
+def unified_calls(calls: DataFrame, catalogue: DataFrame, most_fields: int | None = None) -> DataFrame:
+    """All calls in one table: path, name, call_id, and a column for every field of the union schema, however many.
 
     Fields that are renamings of each other share a column, named after the one that most files
     have. A column has the least type that holds all values of its fields exactly (see LATTICE);
     several values of one field in a call come as the JSON text of an array, in a column of strings.
-    A call without a field has null. Only the names of the columns are brought to the driver; if
-    there are more than `most_fields`, the columns come as one map, `fields`, with the values as text.
+    A call without a field has null. Only the names of the columns are brought to the driver.
+
+    A caller who can't take any number of columns gives `most_fields`, and gets them as one map,
+    `fields`, with the values as text, whatever the input has: the form of the table never hangs on it.
     """
-    read = cut(read_calls(calls))
+    read = cut(read_calls(calls).withColumn("row", F.monotonically_increasing_id()))
     flat = read.select("path", "name", F.explode("leaves").alias("l")).select("path", "name", "l.field", "l.kind", "l.type", F.xxhash64("l.value").alias("hash"))
     union = cut(union_schema(file_schemas(flat)))
     renamed = schema_changes(flat, catalogue).where("change = 'renamed'").select("name", "old_field", "new_field").distinct()
     columns = cut(_columns(union, renamed))
-    cells = _cells(read, columns, most_fields)
+    cells = _cells(read, columns, MOST_FIELDS if most_fields is None else most_fields)
     of = lambda c: F.transform(F.filter("all", lambda x: x["column"] == c), lambda x: x["value"])
     one = lambda c: F.when(F.size(of(c)) == 1, of(c)[0]).otherwise(F.to_json(of(c)))
     names = F.array_distinct(F.transform("all", lambda x: x["column"]))
     wide = cut(cells.select("path", "name", "call_id", F.map_from_arrays(names, F.transform(names, one)).alias("fields"), F.filter(names, lambda c: F.size(of(c)) > 1).alias("listed")))
     several = wide.select(F.explode("listed").alias("column")).distinct()
     wide = wide.drop("listed")
-    kinds = columns.groupBy("column").agg(F.max("type").alias("type")).join(several.withColumn("listed", F.lit(True)), "column", "left")
-    layout = kinds.select("column", F.when(F.col("listed"), "string").otherwise(F.col("type")).alias("type")).orderBy("column").limit(most_fields + 1).collect()
-    if len(layout) > most_fields:
+    if most_fields is not None:
         return wide
-    keys = ("path", "name", "call_id")
-    cast = lambda r: F.col("fields")[r.column].try_cast(r.type).alias(r.column if r.column not in keys else f"input.{r.column}")
-    return wide.select(*keys, *[cast(r) for r in layout])
+    kinds = columns.groupBy("column").agg(F.max("type").alias("type")).join(several.withColumn("listed", F.lit(True)), "column", "left")
+    layout = kinds.select("column", F.when(F.col("listed"), "string").otherwise(F.col("type")).alias("type")).orderBy("column").collect()
+    keys, fields = ("path", "name", "call_id"), F.col("fields")
+    names = _named([r.column for r in layout], keys)
+    return wide.select(*keys, *[fields[r.column].try_cast(r.type).alias(name) for r, name in zip(layout, names, strict=True)])

@@ -62,6 +62,28 @@ def test_numbers_keep_their_digits(spark):
     assert {r.call_id: r.fields for r in as_map.collect()}["c2"] == {"a": "-1", "e": "x"}
 
 
+def test_any_number_of_fields_gets_typed_columns(spark):
+    inputs = [{f"f{i:05d}": i for i in range(k, min(k + 100, 5001))} for k in range(0, 5001, 100)] + [{"ID": 1, "Id": "x", "path": 2, "Path": True}]
+    rows = [("f1", i, "A", f"c{i}", json.dumps(v), "") for i, v in enumerate(inputs)]
+    out = drift.unified_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([("f1", "p", None)], FILES))
+    types = dict(out.dtypes)
+    assert "fields" not in types and [types.get(f"f{i:05d}") for i in range(5001)] == ["bigint"] * 5001
+    assert {k: types[k] for k in list(types)[3:] if k[0] != "f"} == {"ID": "bigint", "input.Id": "string", "input.input.Path": "boolean", "input.path": "bigint"}
+    last = out.where("call_id = 'c50'").select("f04999", "f05000").collect()
+    assert [tuple(r) for r in last] == [(None, 5000)]
+
+
+def test_calls_keep_their_rows_however_fields_are_placed(spark):
+    inputs = [("c1", {"a": 1}), ("c1", {"a": 2, "b": "x"}), (None, {"a": 3}), ("c2", {}), ("c1", {"a": 1})]
+    rows = [("f1", i, "A", c, json.dumps(v), "") for i, (c, v) in enumerate(inputs)]
+    files = spark.createDataFrame([("f1", "p", None)], FILES)
+    for most in (0, 1, 2, 5000):
+        got = drift.unified_calls(spark.createDataFrame(rows, CALLS), files, most_fields=most).collect()
+        assert sorted((r.call_id or "", sorted(r.fields.items())) for r in got) == [("", [("a", "3")]), ("c1", [("a", "1")]), ("c1", [("a", "2"), ("b", "x")]), ("c2", [])]
+    wide = drift.unified_calls(spark.createDataFrame(rows, CALLS), files).collect()
+    assert {(r.call_id, r.a, r.b) for r in wide} == {(None, 3, None), ("c1", 1, None), ("c1", 2, "x"), ("c2", None, None)} and len(wide) == 4
+
+
 def test_files_are_numbered_across_days(spark):
     import datetime as dt
 
